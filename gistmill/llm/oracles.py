@@ -27,5 +27,72 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+
+HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
+
+
+def _hex(first: int, digits: int) -> str:
+    return f"('0x' || substr(m, {first}, {digits}))::int"
+
+
+OP6 = f"""
+WITH hosts AS (SELECT page_id, url, DATE '2023-01-01' + ((page_id * 7919) % 730)::int AS day, regexp_extract(lower(url), '{HOST}', 1) AS h,
+               list_filter(string_split(regexp_extract(url, '{PATH}', 1), '/'), lambda s: s <> '') AS seg FROM pages),
+known AS (SELECT DISTINCT h, seg, string_split(h, '.') AS lab FROM hosts WHERE h <> ''),
+rules AS (
+  SELECT 'ads' AS list, 'block' AS verdict, 'host:' || h AS pattern, 4 AS share FROM known
+  UNION SELECT 'malware', 'block', 'domain:' || array_to_string(lab[greatest(1, len(lab) - 1):], '.'), 8 FROM known
+  UNION SELECT 'adult', 'block', 'prefix:' || h || '/' || seg[1], 5 FROM known WHERE len(seg) > 0
+  UNION SELECT 'trusted', 'allow', 'host:' || h, 2 FROM known),
+dated AS (SELECT *, md5(list || '|' || pattern) AS m FROM rules),
+days AS (SELECT *, DATE '2023-01-01' + {_hex(2, 3)} % 500 AS d1 FROM dated WHERE {_hex(1, 1)} < share),
+days2 AS (SELECT *, d1 + 30 + {_hex(5, 3)} % 200 AS d2 FROM days),
+days3 AS (SELECT *, d2 + 10 + {_hex(8, 3)} % 100 AS d3 FROM days2),
+spans AS (SELECT list, verdict, pattern, d1 AS a, d2 AS z FROM days3 UNION ALL SELECT list, verdict, pattern, d3, NULL FROM days3 WHERE {_hex(11, 1)} < 8),
+keyed AS (
+  SELECT page_id, url, day, 'host:' || h AS k FROM hosts WHERE h <> ''
+  UNION ALL SELECT page_id, url, day, 'domain:' || array_to_string(lab[i:], '.') FROM (SELECT page_id, url, day, string_split(h, '.') AS lab, unnest(range(1, len(string_split(h, '.')) + 1)) AS i FROM hosts WHERE h <> '')
+  UNION ALL SELECT page_id, url, day, 'prefix:' || h || '/' || array_to_string(seg[:i], '/') FROM (SELECT page_id, url, day, h, seg, unnest(range(1, len(seg) + 1)) AS i FROM hosts WHERE h <> '')),
+met AS (SELECT page_id, url, day, count(*) AS n_active, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, max(CASE verdict WHEN 'allow' THEN 2 ELSE 1 END) AS top
+        FROM keyed JOIN spans ON k = pattern AND day >= a AND (z IS NULL OR day < z) GROUP BY ALL)
+SELECT page_id, url, day::varchar AS day, n_captures, coalesce(n_active, 0) AS n_active, coalesce(lists, '') AS lists,
+       CASE top WHEN 2 THEN 'allow' WHEN 1 THEN 'block' ELSE 'none' END AS verdict
+FROM (SELECT page_id, url, day, count(*) AS n_captures FROM hosts GROUP BY ALL) LEFT JOIN met USING (page_id, url, day)
+"""
+
+OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest FROM pages),
+q AS (SELECT page_id, strlen(html)::bigint AS n, digest, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+FROM q
+"""
+
+
+def _escaped(column: str) -> str:
+    from .chat import CONTROL
+
+    out = f"replace({column}, '\\', '\\\\')"
+    for mark in CONTROL:
+        out = f"replace({out}, '{mark}', '{mark[0]}\\{mark[1:]}')"
+    return out
+
+
+def _op8() -> str:
+    from .chat import BEGIN, END, TEXT, TURN
+
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       ({len(BEGIN)} + sum({len(TURN + TEXT + END)} + length({_escaped("role")}) + length({_escaped("text")})))::bigint AS formatted_chars,
+       count(*) FILTER (role = 'assistant') AS n_examples
+FROM t GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3}
+    return {"op3_decontaminate": OP3, "op6_urls": OP6, "op7_warc": OP7, "op8_chat": _op8()}

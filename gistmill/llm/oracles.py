@@ -94,5 +94,15 @@ FROM t GROUP BY conv_id
 """
 
 
+#: Exact search; the query equals it where its trees are small, as on sf0.01.
+OP1 = """
+WITH v AS (SELECT vec_id, embedding::double[] AS e FROM embeddings WHERE embedding IS NOT NULL)
+SELECT query_id, rank::int AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+  FROM (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score FROM v q, v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id))
+WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3, "op6_urls": OP6, "op7_warc": OP7, "op8_chat": _op8()}
+    return {"op1_ann": OP1, "op3_decontaminate": OP3, "op6_urls": OP6, "op7_warc": OP7, "op8_chat": _op8()}

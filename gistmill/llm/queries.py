@@ -6,12 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, pii, toxicity, urls, warc
+from . import bpe, chat, decontaminate, pii, toxicity, urls, vptree, warc
 from ._shared import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+#: Passes over 4 % of the inner products of 16,384 vectors at a recall of 0.996 (README); 1 is exact.
+ANN_FACTOR = 4.0
+
+
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vptree.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20, factor=ANN_FACTOR)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,4 +65,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_decontaminate, op5_toxicity, op6_urls, op7_warc, op8_chat, op9_pii, op10_bpe)}
+    return {f.__name__: f for f in (op1_ann, op3_decontaminate, op5_toxicity, op6_urls, op7_warc, op8_chat, op9_pii, op10_bpe)}

@@ -157,7 +157,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 def shards(rows: DataFrame, count: int, leaf: int = LEAF) -> DataFrame:
     """(dim, shard, tree): one row per shard with its pickled tree."""
 
-    def build(key, group: pa.Table) -> pa.Table:
+    def build(key, group):
         dim = key[0].as_py()
         group = group.combine_chunks()
         ids = group.column("vec_id").to_numpy()
@@ -180,7 +180,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     n_blocks = max(1, -(-asked.count() // block_rows))
     trees = shards(rows, n_shards, leaf).withColumn("replica", F.explode(F.array(*map(F.lit, range(REPLICAS)))))
 
-    def pack(key, group: pa.Table) -> pa.Table:
+    def pack(key, group):
         dim = key[0].as_py()
         group = group.combine_chunks()
         block = (group.column("q").to_numpy(), _matrix(group.column("v").combine_chunks(), dim))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, pii, toxicity, urls, vptree, warc
+from . import bpe, chat, decontaminate, ngram_join, pii, toxicity, urls, vptree, warc
 from ._shared import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -21,6 +21,10 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20, factor=ANN_FACTOR)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.cluster(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,4 +69,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ann, op3_decontaminate, op5_toxicity, op6_urls, op7_warc, op8_chat, op9_pii, op10_bpe)}
+    return {f.__name__: f for f in (op1_ann, op2_ngram_join, op3_decontaminate, op5_toxicity, op6_urls, op7_warc, op8_chat, op9_pii, op10_bpe)}

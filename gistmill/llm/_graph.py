@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ._shared import cut, drop
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", kind: str = "long") -> DataFrame:
     """(node, component): for every node of an edge the smallest node it reaches.  Nulls and loops are left out; repeated edges don't matter.
 
     A round takes the least label among neighbours and then the label's own label, so paths shrink by more than half a round.
     Nothing is gathered: a round's only news for the driver is how many labels changed.
     """
-    pairs = edges.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y")).filter("x <> y")
+    pairs = edges.select(F.col(a).cast(kind).alias("x"), F.col(b).cast(kind).alias("y")).filter("x <> y")
     both = cut(pairs.union(pairs.select(F.col("y"), F.col("x"))).distinct().toDF("x", "y"), "edges")
     labels = cut(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("component")), "labels")
     while True:

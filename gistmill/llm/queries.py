@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, ngram_join, pii, toxicity, urls, vptree, warc
+from . import bpe, chat, decontaminate, line_dedup, ngram_join, pii, toxicity, urls, vptree, warc
 from ._shared import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -29,6 +29,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_kept", "n_near", F.array_join("dropped", ",").alias("dropped"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -69,4 +74,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ann, op2_ngram_join, op3_decontaminate, op5_toxicity, op6_urls, op7_warc, op8_chat, op9_pii, op10_bpe)}
+    return {f.__name__: f for f in (op1_ann, op2_ngram_join, op3_decontaminate, op4_line_dedup, op5_toxicity, op6_urls, op7_warc, op8_chat, op9_pii, op10_bpe)}

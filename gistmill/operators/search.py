@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def filled_scores(scores: DataFrame) -> DataFrame:
     """(candidate, instance, score) for every candidate and instance that occur, a missing score as 0.
@@ -112,10 +114,12 @@ def hotflip(vocabulary: DataFrame, gradient: DataFrame, excluded: DataFrame, k:
     return allowed.crossJoin(F.broadcast(gradient)).select("token", (-dot(F.col("embedding"), F.col("gradient"))).alias("gain")).orderBy(F.col("gain").desc(), "token").limit(k)
 
 
+def log_sum_exp(values: Column) -> Column:
+    return let(F.array_max(values), lambda top: top + F.log(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))))
+
+
 def log_softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    norm = F.log(F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))) + top
-    return F.transform(logits, lambda x: x - norm)
+    return let(log_sum_exp(logits), lambda norm: F.transform(logits, lambda x: x - norm))
 
 
 def label_tokens(rows: DataFrame, k: int, special: list[int]) -> DataFrame:
@@ -128,10 +132,8 @@ def label_tokens(rows: DataFrame, k: int, special: list[int]) -> DataFrame:
 
 def label_loss(logits: Column, ids: Column) -> Column:
     """Minus the log of the labels' summed probability; id 0 is padding."""
-    lp = log_softmax(F.transform(logits, lambda x: x.cast("double")))
-    own = F.transform(F.filter(ids, lambda i: i != 0), lambda i: F.get(lp, i))
-    top = F.array_max(own)
-    return -(F.log(F.aggregate(own, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))) + top)
+    own = lambda lp: F.transform(F.filter(ids, lambda i: i != 0), lambda i: F.get(lp, i))
+    return let(log_softmax(F.transform(logits, lambda x: x.cast("double"))), lambda lp: let(own(lp), lambda v: -log_sum_exp(v)))
 
 
 def predicted_label(losses: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_queries, prompt_queries  # noqa: F401
+from . import context_queries, prompt_queries, search_queries  # noqa: F401
 from ._base import QUERIES, SQL
 
 

@@ -39,8 +39,8 @@ from ._text import SPACED, U, Words, mix, words_of
 SHINGLE = 5
 PERCENT = 75
 #: Shingles that a task packs at once, and bytes of text for each bucket of hashes.
-FLUSH = 1_500_000
-BUCKET_BYTES = 4 << 20
+FLUSH = 1_000_000
+BUCKET_BYTES = 8 << 20
 #: Documents in a block of a large neighbourhood.
 BLOCK = 512
 #: DivideSkip's weight of a binary search against a step of the merge.
@@ -92,6 +92,39 @@ def _from_six(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(U)
 
 
+def _planes(values: np.ndarray, kinds: tuple[str, ...]) -> bytes:
+    """Non-negative integers at the least width that holds them, byte plane after byte plane, so that empty planes compress away."""
+    top = int(values.max(initial=0))
+    kind = next(k for k in kinds if top < 1 << 8 * int(k[-1]))
+    width = int(kind[-1])
+    return bytes([width]) + values.astype(kind).view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    return np.frombuffer(raw, dtype=np.uint8, offset=1).reshape(width, -1).T.copy().view(f"<u{width}").ravel()
+
+
+def _pack_docs(docs: np.ndarray) -> bytes:
+    """Ascending ids: the first, then the steps."""
+    return docs[:1].astype("<i8").tobytes() + _planes(np.diff(docs).view(U), ("<u1", "<u2", "<u4", "<u8"))
+
+
+def _unpack_docs(raw: bytes) -> np.ndarray:
+    first = np.frombuffer(raw, dtype="<i8", count=1)
+    steps = _from_planes(raw[8:]).astype(U).view(np.int64)
+    return np.concatenate([first, first + np.cumsum(steps)])
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    return _planes(counts, ("<u1", "<u4"))
+
+
+def _owners(docs: list[bytes], counts: list[bytes]) -> np.ndarray:
+    """The document of every value of some packed rows."""
+    return np.concatenate([np.repeat(_unpack_docs(d), _from_planes(c)) for d, c in zip(docs, counts)])
+
+
 def _group(docs: np.ndarray, n: int) -> np.ndarray:
     return (mix(docs.astype(np.int64).view(U)) % U(n)).astype(np.int64)
 
@@ -107,7 +140,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _packed(keys: np.ndarray, bucket, docs: np.ndarray, values: np.ndarray, codes: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Rows that hold, for each key, its documents, how many values each has, the low 48 bits of the values, and their codes."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys, kind="stable") if (docs[1:] >= docs[:-1]).all() else np.lexsort((docs, keys))
     keys, docs, six = keys[order], docs[order], _six(values[order])
     codes = codes[order] if codes is not None else None
     first, length = _runs(keys, docs)
@@ -116,7 +149,7 @@ def _packed(keys: np.ndarray, bucket, docs: np.ndarray, values: np.ndarray, code
     for low, high in zip(cut_at.tolist(), np.append(cut_at[1:], len(first)).tolist()):
         a, b = int(first[low]), int(first[high - 1] + length[high - 1])
         key = int(keys[a])
-        rows.append((key, key if bucket is None else bucket, docs[first[low:high]].astype("<i8").tobytes(), length[low:high].astype("<u4").tobytes(), six[a:b].tobytes(), codes[a:b].tobytes() if codes is not None else b""))
+        rows.append((key, key if bucket is None else bucket, _pack_docs(docs[first[low:high]]), _pack_counts(length[low:high]), six[a:b].tobytes(), codes[a:b].tobytes() if codes is not None else b""))
         size += (b - a) * 6
         if size > 8 << 20:
             yield _batch(rows)
@@ -168,13 +201,13 @@ def _shared_only(buckets: int):
         columns = {c: group.column(c).to_pylist() for c in NAMES}
         if bucket < 0:
             return pa.Table.from_batches([_batch([(-1 - bucket, -1, d, c, b"", b"") for d, c in zip(columns["docs"], columns["counts"])])])
-        docs = np.frombuffer(b"".join(columns["docs"]), dtype="<i8")
-        docs = np.repeat(docs, np.frombuffer(b"".join(columns["counts"]), dtype="<u4"))
-        values = _from_six(b"".join(columns["hashes"]))
+        docs = _owners(columns["docs"], columns["counts"])
+        values = _from_six(b"".join(columns.pop("hashes")))
         order = np.argsort(values)
         values, docs = values[order], docs[order]
-        _, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
-        times = counts[inverse]
+        first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+        counts = np.diff(np.append(first, len(values)))
+        times = np.repeat(counts, counts)
         some = times > 1
         values, docs, times = values[some], docs[some], times[some]
         codes = np.minimum(np.floor(8 * np.log2(np.maximum(times, 1))), 255).astype(np.uint8)
@@ -195,14 +228,15 @@ def _assemble(percent: int):
         columns = {c: group.column(c).to_pylist() for c in NAMES}
         sizes, reps, parts = {}, {}, []
         for bucket, docs, counts, hashes, codes in zip(columns["bucket"], columns["docs"], columns["counts"], columns["hashes"], columns["codes"]):
-            ids = np.frombuffer(docs, dtype="<i8")
+            if bucket < 0:
+                ids = np.frombuffer(docs, dtype="<i8")
             if bucket == -1:
                 for i, n in zip(ids.tolist(), np.frombuffer(counts, dtype="<u4").tolist()):
                     sizes[i] = max(n, sizes.get(i, 0))
             elif bucket == -2:
                 reps.update(zip(ids.tolist(), np.frombuffer(hashes, dtype="<i8").tolist()))
             else:
-                parts.append((np.repeat(ids, np.frombuffer(counts, dtype="<u4")), _from_six(hashes) | U(bucket << 48), np.frombuffer(codes, dtype=np.uint8)))
+                parts.append((_owners([docs], [counts]), _from_six(hashes) | U(bucket << 48), np.frombuffer(codes, dtype=np.uint8)))
         found = {}
         if parts:
             docs, values, codes = (np.concatenate([p[i] for p in parts]) for i in range(3))
@@ -283,8 +317,7 @@ class Forest:
 def _neighbours(key, group):
     """For a bucket: documents that share a prefix shingle, as edges to the smallest document reached within the bucket."""
     group = group.combine_chunks()
-    docs = np.frombuffer(b"".join(group.column("docs").to_pylist()), dtype="<i8")
-    docs = np.repeat(docs, np.frombuffer(b"".join(group.column("counts").to_pylist()), dtype="<u4"))
+    docs = _owners(group.column("docs").to_pylist(), group.column("counts").to_pylist())
     values = _from_six(b"".join(group.column("hashes").to_pylist()))
     names, local = np.unique(docs, return_inverse=True)
     order = np.lexsort((local, values))

@@ -7,6 +7,7 @@ give equal values on every machine; different ones collide with a chance of abou
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:
+    _libc = None
 #: Bytes of text handled at once; a single longer text is still handled whole.
-PASS_BYTES = 2 << 20
+PASS_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -107,12 +112,14 @@ def passes(column: pa.Array, limit: int = PASS_BYTES) -> Iterator[tuple[int, int
     """Cut a text column into stretches of about ``limit`` bytes: first row, row after the last, bytes, offsets within them.  Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if column.null_count:
+        column = pc.fill_null(column, "")
     n = len(column)
     if not n:
         return
     _, places, data = column.buffers()
-    offsets = np.frombuffer(places, dtype=np.int64)[column.offset : column.offset + n + 1]
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(places, dtype=width)[column.offset : column.offset + n + 1].astype(np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
     low = 0
     while low < n:
@@ -122,6 +129,13 @@ def passes(column: pa.Array, limit: int = PASS_BYTES) -> Iterator[tuple[int, int
         low = high
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: a worker lives on after its task, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def words_of(column: pa.Array, kind: np.ndarray, limit: int = PASS_BYTES) -> Iterator[tuple[int, int, Words]]:
     for low, high, data, offsets in passes(column, limit):
         yield low, high, Words(data, offsets, kind)

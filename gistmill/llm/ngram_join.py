@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._shared import cut, text_bytes
-from ._text import SPACED, U, Words, mix, words_of
+from ._text import SPACED, U, Words, mix, tidy, words_of
 
 SHINGLE = 5
 PERCENT = 75
@@ -188,6 +188,7 @@ def _shingles(docs: DataFrame, buckets: int, k: int, key: str, text: str) -> Dat
                     held, size = [], 0
         if held:
             yield from flush()
+        tidy()
 
     return docs.filter(F.col(key).isNotNull()).select(key, text).mapInArrow(each, PACKED)
 
@@ -213,6 +214,7 @@ def _shared_only(buckets: int):
         codes = np.minimum(np.floor(8 * np.log2(np.maximum(times, 1))), 255).astype(np.uint8)
         order = np.argsort(docs, kind="stable")
         values, docs, codes = values[order], docs[order], codes[order]
+        tidy()
         return pa.Table.from_batches(list(_packed(_group(docs, buckets).astype(np.uint16), bucket, docs, values, codes)), schema=_batch([]).schema)
 
     return each
@@ -252,6 +254,8 @@ def _assemble(percent: int):
                 if c >= least and reps.get(i, i) == i:
                     found[i] = (n - least + 1 - (n - c), values[low:high].astype("<u8").tobytes())
         rows = [(i, n, reps.get(i, i), *found.get(i, (None, None))) for i, n in sizes.items()]
+        del parts, columns, found
+        tidy()
         return pa.table({name: pa.array([r[j] for r in rows], t) for j, (name, t) in enumerate(zip(names, types))})
 
     return each
@@ -331,6 +335,8 @@ def _neighbours(key, group):
         forest.join(a, b)
     roots = np.array([forest.find(i) for i in range(len(names))], dtype=np.int64)
     out = np.flatnonzero(roots != np.arange(len(names)))
+    del values, local, docs
+    tidy()
     return pa.table({"a": pa.array(names[roots[out]].astype(np.int64)), "b": pa.array(names[out].astype(np.int64))})
 
 
@@ -428,6 +434,8 @@ def _search(percent: int):
             own = order[a:b]
             side = (blocks[own] == high).astype(np.int8) if low != high else np.zeros(len(own), np.int8)
             out += connect(docs[own], sizes[own], [np.frombuffer(raws[i], dtype="<u8") for i in own.tolist()], side, percent)
+        del raws, group
+        tidy()
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return each

@@ -70,50 +70,58 @@ def probe_keys(line: Column, threshold: int) -> list[Column]:
     return out
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: without the name, the planner would copy the value to every use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     """The edit distance of two strings whose lengths differ by at most ``threshold``, if it is at most that; else something larger.
 
     Bit-parallel: bit k of a word stands for the k-th row of a band that moves down the diagonal with each character of b.
     """
     bits = 2 * threshold + 2
-    full, bottom = (1 << bits) - 1, 1 << (bits - 1)
-    m, n = F.length(a), F.length(b)
-    rows, columns = F.split(a, ""), F.split(b, "")
-    start = F.struct(
-        F.lit(((1 << (threshold + 1)) - 1) << (bits - threshold - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(threshold).alias("dist"), rows.alias("rows"), columns.alias("columns")
-    )
-
-    def step(s: Column, j: Column) -> Column:
-        here = F.get(s["columns"], j - 1)
-        match = F.lit(0).cast("long")
-        for k in range(bits):
-            row = j + (threshold - bits + k)
-            match = match + F.when((row >= 0) & (F.get(s["rows"], row) == here), 1 << k).otherwise(0)
-        first = F.struct(s["vp"].alias("vp"), s["vn"].alias("vn"), s["dist"].alias("dist"), s["rows"].alias("rows"), s["columns"].alias("columns"), match.alias("x"))
-
-        def moved(t: Column) -> Column:
-            d0 = ((t["x"].bitwiseAND(t["vp"]) + t["vp"]).bitwiseXOR(t["vp"]).bitwiseOR(t["x"]).bitwiseOR(t["vn"])).bitwiseAND(F.lit(full))
-            return F.struct(t["vp"].alias("vp"), t["vn"].alias("vn"), t["dist"].alias("dist"), t["rows"].alias("rows"), t["columns"].alias("columns"), d0.alias("d0"))
-
-        def closed(t: Column) -> Column:
-            hp = t["vn"].bitwiseOR(F.bitwise_not(t["d0"].bitwiseOR(t["vp"])).bitwiseAND(F.lit(full)))
-            hn = t["d0"].bitwiseAND(t["vp"])
-            half = F.shiftright(t["d0"], 1)
-            # On the diagonal while its row is within a; then along the last row, one bit higher each time.
-            beyond = j - (m - threshold)
-            mask = F.call_function("shiftright", F.lit(bottom).cast("long"), F.greatest(beyond, F.lit(0)))
-            straight = F.when(hp.bitwiseAND(mask) != 0, 1).when(hn.bitwiseAND(mask) != 0, -1).otherwise(0)
-            moved_by = F.when(beyond <= 0, F.when(t["d0"].bitwiseAND(F.lit(bottom)) != 0, 0).otherwise(1)).otherwise(straight)
-            vp = hn.bitwiseOR(F.bitwise_not(half.bitwiseOR(hp)).bitwiseAND(F.lit(full)))
-            vn = half.bitwiseAND(hp)
-            return F.struct(vp.alias("vp"), vn.alias("vn"), (t["dist"] + moved_by).alias("dist"), t["rows"].alias("rows"), t["columns"].alias("columns"))
-
-        second = F.element_at(F.transform(F.array(first), moved), 1)
-        return F.element_at(F.transform(F.array(second), closed), 1)
-
-    walked = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["dist"])
-    # A band that reaches beyond row 0 of a short string starts below its last row: then count the plain way.
-    return F.when(n == 0, m).when(m <= threshold, F.levenshtein(a, b)).otherwise(walked)
+    full, bottom = F.lit((1 << bits) - 1).cast("long"), F.lit(1 << (bits - 1)).cast("long")
+    zero = F.lit(0).cast("long")
+
+    def walk(t: Column) -> Column:
+        """t holds the characters of both strings."""
+        start = F.struct(F.lit(((1 << (threshold + 1)) - 1) << (bits - threshold - 1)).cast("long").alias("vp"), zero.alias("vn"), F.lit(threshold).alias("dist"))
+
+        def step(s: Column, j: Column) -> Column:
+            here = F.get(t["b"], j - 1)
+            match = zero
+            for k in range(bits):
+                row = j + (threshold - bits + k)
+                match = match + F.when((row >= 0) & (F.get(t["a"], row) == here), 1 << k).otherwise(0)
+
+            def moved(x: Column) -> Column:
+                d0 = (x.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"]).bitwiseOR(x).bitwiseOR(s["vn"]).bitwiseAND(full)
+                return let(d0, closed)
+
+            def closed(d0: Column) -> Column:
+                hp = s["vn"].bitwiseOR(F.bitwise_not(d0.bitwiseOR(s["vp"])).bitwiseAND(full))
+                return let(F.struct(hp.alias("hp"), d0.bitwiseAND(s["vp"]).alias("hn"), F.shiftright(d0, 1).alias("half"), d0.alias("d0")), next_state)
+
+            def next_state(w: Column) -> Column:
+                # On the diagonal while its row is within a; then along the last row, one bit higher each time.
+                beyond = j - (t["m"] - threshold)
+                mask = F.call_function("shiftright", bottom, F.greatest(beyond, F.lit(0)))
+                straight = F.when(w["hp"].bitwiseAND(mask) != 0, 1).when(w["hn"].bitwiseAND(mask) != 0, -1).otherwise(0)
+                moved_by = F.when(beyond <= 0, F.when(w["d0"].bitwiseAND(bottom) != 0, 0).otherwise(1)).otherwise(straight)
+                vp = w["hn"].bitwiseOR(F.bitwise_not(w["half"].bitwiseOR(w["hp"])).bitwiseAND(full))
+                return F.struct(vp.alias("vp"), w["half"].bitwiseAND(w["hp"]).alias("vn"), (s["dist"] + moved_by).alias("dist"))
+
+            return let(match, moved)
+
+        return F.aggregate(F.sequence(F.lit(1), t["n"]), start, step, lambda s: s["dist"])
+
+    def measured(t: Column) -> Column:
+        # A band that reaches beyond row 0 of a short string starts below its last row: then count the plain way.
+        chars = F.struct(F.split(t["a"], "").alias("a"), F.split(t["b"], "").alias("b"), F.length(t["a"]).alias("m"), F.length(t["b"]).alias("n"))
+        return F.when(F.length(t["b"]) == 0, F.length(t["a"])).when(F.length(t["a"]) <= threshold, F.levenshtein(t["a"], t["b"])).otherwise(let(chars, walk))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), measured)
 
 
 def near(a: Column, b: Column, threshold: int) -> Column:
@@ -129,17 +137,25 @@ def near(a: Column, b: Column, threshold: int) -> Column:
     return hits >= PARTS - threshold
 
 
-def _strip(df: DataFrame, a: str, b: str, right: bool) -> DataFrame:
-    """Cut the longest common run of eighths off one end of both strings; their distance stays the same."""
-    n = F.least(F.length(a), F.length(b))
+def stripped(pair: Column, right: bool) -> Column:
+    """The pair (a, b) without the longest common run of eighths at one end; its distance stays the same."""
     take = F.right if right else F.left
-    common = F.lit(0)
-    for p in range(1, PARTS + 1):
-        size = F.floor(n * p / PARTS).cast("int")
-        common = F.when(take(F.col(a), size) == take(F.col(b), size), size).otherwise(common)
-    cut_off = df.withColumn("_common", common)
-    rest = lambda c: F.left(F.col(c), F.length(c) - F.col("_common")) if right else F.substring(F.col(c), F.col("_common") + 1, F.length(c))
-    return cut_off.withColumns({a: rest(a), b: rest(b)}).drop("_common")
+
+    def cut_off(t: Column) -> Column:
+        common = F.lit(0)
+        for p in range(1, PARTS + 1):
+            size = F.floor(t["n"] * p / PARTS).cast("int")
+            common = F.when(take(t["a"], size) == take(t["b"], size), size).otherwise(common)
+        rest = lambda x, c: F.left(x, F.length(x) - c) if right else F.substring(x, c + 1, F.length(x))
+        return let(common, lambda c: F.struct(rest(t["a"], c).alias("a"), rest(t["b"], c).alias("b")))
+
+    return let(F.struct(pair["a"].alias("a"), pair["b"].alias("b"), F.least(F.length(pair["a"]), F.length(pair["b"])).alias("n")), cut_off)
+
+
+def distance(a: Column, b: Column, threshold: int) -> Column:
+    """Common ends off, then the banded automaton."""
+    whole = F.struct(a.alias("a"), b.alias("b"))
+    return let(whole, lambda p: let(stripped(p, right=False), lambda q: let(stripped(q, right=True), lambda r: banded_distance(r["a"], r["b"], threshold))))
 
 
 def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -153,8 +169,7 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     b = once.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"))
     texts = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).filter(F.abs(F.length("a") - F.length("b")) <= threshold)
     texts = texts.filter(near(F.col("a"), F.col("b"), threshold))
-    rest = _strip(_strip(texts, "a", "b", right=False), "a", "b", right=True)
-    return rest.filter(banded_distance(F.col("a"), F.col("b"), threshold) <= threshold).select("a1", "a2", "b1", "b2")
+    return texts.filter(distance(F.col("a"), F.col("b"), threshold) <= threshold).select("a1", "a2", "b1", "b2")
 
 
 def _name(a: str, b: str) -> Column:

@@ -14,28 +14,41 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[ \t\n\r\f]+"), lambda t: t != "")
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, config: Retrieval = Retrieval(), key: str = "sample_id") -> DataFrame:
-    """All columns of chunks and score.  The corpus of a sample is its own chunks.
+def bm25_scores(chunks: DataFrame, queries: DataFrame, config: Retrieval = Retrieval(), key: str = "sample_id") -> DataFrame:
+    """(key, chunk_index, score) for every chunk.  The corpus of a sample is its own chunks.
 
-    Everything is grouped by keys that begin with the sample, so one exchange by sample serves all counts and the join with
-    the query's terms.  A term in more than half of the chunks has a negative idf, which the floor replaces by a quarter of
-    the mean one.
+    Terms of chunks and of the query (without a chunk) are one relation, dealt once by sample; every count is a window over keys
+    that begin with the sample, so nothing is shuffled again and texts don't travel.  A term in more than half of the chunks has a
+    negative idf, which the floor replaces by a quarter of the mean one.
     """
-    dealt = chunks.repartition(key)
-    postings = dealt.select(key, "chunk_index", F.explode(terms(F.col("text"))).alias("term")).groupBy(key, "chunk_index", "term").agg(F.count("*").alias("tf"))
-    lengths = dealt.select(key, "chunk_index", F.size(terms(F.col("text"))).alias("dl"))
-    corpus = lengths.groupBy(key).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy(key, "term").agg(F.count("*").alias("df")).join(corpus, key)
-    idf = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    own = chunks.select(key, "chunk_index", F.explode_outer(terms(F.col("text"))).alias("term"))
+    asked = queries.select(key, F.lit(None).cast("int").alias("chunk_index"), F.explode(terms(F.col("query"))).alias("term"))
+    rows = own.unionByName(asked).repartition(key).groupBy(key, "chunk_index", "term").agg(F.count("term").alias("tf"))
+    sample, term, chunk = W.partitionBy(key), W.partitionBy(key, "term"), W.partitionBy(key, "chunk_index")
+    held = F.col("chunk_index").isNotNull()
+    rows = rows.withColumns({"df": F.count("chunk_index").over(term), "qtf": F.max(F.when(~held, F.col("tf"))).over(term)})
+    rows = rows.withColumns({"dl": F.sum("tf").over(chunk), "_first": held & (F.row_number().over(chunk.orderBy("term")) == 1)})
+    rows = rows.withColumns({"n": F.count_if("_first").over(sample), "_all": F.sum(F.when(held, F.col("tf"))).over(sample)})
+    real = held & F.col("term").isNotNull()
+    idf = F.when(real, F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    rows = rows.withColumn("idf", idf)
     if config.idf_floor:
-        mean = F.avg("idf").over(W.partitionBy(key))
-        idf = idf.withColumn("idf", F.when(F.col("idf") < 0, 0.25 * mean).otherwise(F.col("idf")))
-    asked = queries.select(key, F.explode(terms(F.col("query"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("qtf"))
-    met = postings.join(idf, [key, "term"]).join(asked, [key, "term"]).join(lengths, [key, "chunk_index"])
+        mean = F.sum(F.when(real, F.col("idf") / F.col("df"))).over(sample) / F.sum(F.when(real, 1.0 / F.col("df"))).over(sample)
+        rows = rows.withColumn("idf", F.when(F.col("idf") < 0, 0.25 * mean).otherwise(F.col("idf")))
     k1, b = config.k1, config.b
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = met.groupBy(key, "chunk_index").agg(F.sum(part).alias("score"))
-    return dealt.join(scores, [key, "chunk_index"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") * F.col("n") / F.col("_all")))
+    return rows.filter(held).groupBy(key, "chunk_index").agg(F.coalesce(F.sum(F.when(real, part)), F.lit(0.0)).alias("score"))
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, config: Retrieval = Retrieval(), key: str = "sample_id") -> DataFrame:
+    """All columns of chunks and score."""
+    return chunks.join(bm25_scores(chunks, queries, config, key), [key, "chunk_index"])
+
+
+def bm25_top(chunks: DataFrame, queries: DataFrame, config: Retrieval = Retrieval(), key: str = "sample_id") -> DataFrame:
+    """The best chunks with score and rank; only they meet their texts again.  Scores are rounded to 9 places, so that equal ones tie."""
+    scores = bm25_scores(chunks, queries, config, key).withColumn("score", F.round("score", 9))
+    return chunks.join(top_n(scores, config.top_n, key), [key, "chunk_index"])
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -44,8 +44,7 @@ ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id OR
 
 
 def _ranked(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
-    scored = retrieval.bm25(_paragraph_chunks(spark, sf_dir), _asked(spark, sf_dir)).withColumn("score", F.round("score", 9))
-    return retrieval.top_n(scored, n)
+    return retrieval.bm25_top(_paragraph_chunks(spark, sf_dir), _asked(spark, sf_dir), C.Retrieval(top_n=n))
 
 
 @query(f"SELECT doc_id, {ntok('text')} AS n_tokens FROM documents")
@@ -189,7 +188,7 @@ SELECT sample_id, chunk_index::int AS chunk_index, rank::int AS rank, score FROM
 def hybrid_topn(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     n = vectors.agg(F.count("*").alias("n"))
-    sparse = retrieval.bm25(_paragraph_chunks(spark, sf_dir), _asked(spark, sf_dir)).withColumn("score", F.round("score", 9)).select("sample_id", "chunk_index", "score")
+    sparse = retrieval.bm25_scores(_paragraph_chunks(spark, sf_dir), _asked(spark, sf_dir)).withColumn("score", F.round("score", 9))
     rows = sparse.select("sample_id", "chunk_index").join(F.broadcast(n))  # one row
     rows = rows.withColumn("c", F.pmod(F.col("sample_id") * 7 + F.col("chunk_index"), "n")).withColumn("q", F.pmod("sample_id", "n"))
     rows = rows.join(vectors.toDF("c", "vector"), "c").select("sample_id", "chunk_index", "vector", "q")
@@ -300,5 +299,5 @@ def info_density(spark, sf_dir):
 
 @query(f"WITH {BM25} SELECT sample_id, chunk_index::int AS chunk_index, score FROM (SELECT *, rank() OVER (PARTITION BY sample_id ORDER BY score DESC) AS k FROM bm25) WHERE k <= 3")
 def top_with_ties(spark, sf_dir):
-    scored = retrieval.bm25(_paragraph_chunks(spark, sf_dir), _asked(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    scored = retrieval.bm25_scores(_paragraph_chunks(spark, sf_dir), _asked(spark, sf_dir)).withColumn("score", F.round("score", 9))
     return retrieval.at_least_kth(scored, 3).select("sample_id", "chunk_index", "score")

@@ -7,13 +7,17 @@ first line (smallest doc_id, then position) is kept and all others are dropped.
 * *Segments.*  A line of length l is cut into ``threshold + 1`` segments, so a line within that many edits holds one of them
   unchanged.  The index has a key for (l, number, segment); a line of length n probes, for each l from n - threshold to n,
   only the substrings whose place is compatible with the edits left and right of them (the multi-match-aware range).  Index and
-  probes are equal-key rows of two 64-bit hashes, joined by key; each pair is verified on its text.
+  probes are rows of a hashed key with a profile of the line's letters, and the line's hash, joined by key where the profiles are
+  close enough for the threshold; each pair is verified on its text.
 * *Verification.*  Of eight parts of the shorter line all but ``threshold`` must occur near their places; common parts at both
   ends are cut off; the rest goes through a banded bit-parallel automaton (one 2 t + 2 bit word of vertical differences a
   character, moved along the diagonal), an ``aggregate`` over the characters.
 * Exact repeats are counted first, by digest with partial aggregation, so a line that a third of all documents hold is one row
   from there on; classes come from components of the links; only lines that repeat or link meet the documents again.
 
+Equal lines are told by 128 bits of hashes.  The search for links goes by 64 of them: of lines that share those by chance (one
+pair in 2**64) only the first in order is searched.
+
 Defined cases: a null text has one empty line and stays null; empty lines always stay; rows with a null doc_id take no part and
 stay as they are; rows that repeat a doc_id are one document; other columns are kept by :func:`apply`; an empty table gives no rows.
 """
@@ -75,6 +79,27 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Letters whose occurrences are counted.
+COUNTED = "ento"
+
+
+def profile(line: Column) -> Column:
+    """How often each of four letters occurs, modulo 16: four bits a letter."""
+    n, out = F.octet_length(line), F.lit(0)
+    for k, letter in enumerate(COUNTED):
+        out = out.bitwiseOR(F.shiftleft((n - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(F.lit(15)), 4 * k))
+    return out.cast("long")
+
+
+def alike(a: Column, b: Column, threshold: int) -> Column:
+    """Whether the profiles in the low bits are as close as lines within the threshold must be: an edit moves at most two counts by one."""
+    total = F.lit(0)
+    for k in range(len(COUNTED)):
+        gap = (F.shiftright(a, 4 * k).bitwiseAND(F.lit(15).cast("long")) - F.shiftright(b, 4 * k).bitwiseAND(F.lit(15).cast("long"))).bitwiseAND(F.lit(15).cast("long"))
+        total = total + F.least(gap, F.lit(16) - gap)
+    return total <= 2 * threshold
+
+
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     """The edit distance of two strings whose lengths differ by at most ``threshold``, if it is at most that; else something larger.
 
@@ -159,17 +184,27 @@ def distance(a: Column, b: Column, threshold: int) -> Column:
 
 
 def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a1, a2, b1, b2): pairs of different lines within the threshold, by their hashes; ``lines`` has h1, h2, line, repeats allowed."""
-    once = lines.groupBy("h1", "h2").agg(F.min("line").alias("line"))
-    index = once.select(F.explode(F.array(*index_keys(F.col("line"), threshold))).alias("key"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
-    probes = once.select(F.explode(F.array(*probe_keys(F.col("line"), threshold))).alias("key"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
-    met = index.join(probes, (index["key"] == probes["key"]) & ((index["a1"] != probes["b1"]) | (index["a2"] != probes["b2"])))
-    pairs = met.select("a1", "a2", "b1", "b2").distinct()
-    a = once.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"))
-    b = once.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"))
-    texts = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).filter(F.abs(F.length("a") - F.length("b")) <= threshold)
+    """(a1, a2, b1, b2): pairs of different lines within the threshold, by their hashes; ``lines`` has h1 and line, repeats allowed.
+
+    A key row is two numbers: 48 bits of the key's hash over the 16 of the line's profile, and the line's hash h1.
+    """
+    once = lines.groupBy("h1").agg(F.min("line").alias("line"))
+    high = F.lit(-65536).cast("long")
+
+    def keyed(keys: list[Column], packed: str, name: str) -> DataFrame:
+        # The profile is a column below the explode: once a line, not once a key.
+        rows = once.select("h1", "line", profile(F.col("line")).alias("p")).select(F.explode(F.array(*keys)).alias("k"), F.col("h1").alias(name), "p")
+        return rows.select(F.col("k").bitwiseAND(high).bitwiseOR(F.col("p")).alias(packed), name)
+
+    index, probes = keyed(index_keys(F.col("line"), threshold), "ka", "a1"), keyed(probe_keys(F.col("line"), threshold), "kb", "b1")
+    same = F.shiftright(index["ka"], 16) == F.shiftright(probes["kb"], 16)
+    met = index.join(probes, same & (index["a1"] != probes["b1"]) & alike(index["ka"], probes["kb"], threshold))
+    pairs = met.select("a1", "b1").distinct()
+    a, b = once.select(F.col("h1").alias("a1"), F.col("line").alias("a")), once.select(F.col("h1").alias("b1"), F.col("line").alias("b"))
+    texts = pairs.join(a, "a1").join(b, "b1").filter(F.abs(F.length("a") - F.length("b")) <= threshold)
     texts = texts.filter(near(F.col("a"), F.col("b"), threshold))
-    return texts.filter(distance(F.col("a"), F.col("b"), threshold) <= threshold).select("a1", "a2", "b1", "b2")
+    second = lambda c: F.xxhash64(F.lit("second"), F.col(c))
+    return texts.filter(distance(F.col("a"), F.col("b"), threshold) <= threshold).select("a1", second("a").alias("a2"), "b1", second("b").alias("b2"))
 
 
 def _name(a: str, b: str) -> Column:
@@ -179,7 +214,7 @@ def _name(a: str, b: str) -> Column:
 def drops(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, dropped, n_near): for documents that lose lines, their places (from 0, in order) and how many go that equal no other line."""
     lines = _lines(docs, min_chars, key, text)
-    met = links(lines.select("h1", "h2", "line"), threshold)
+    met = links(lines.select("h1", "line"), threshold)
     classes = components(met.select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b")), kind="string")
     counted = lines.groupBy("h1", "h2").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).withColumn("name", _name("h1", "h2"))
     tied = counted.join(classes, F.col("name") == F.col("node"), "left").filter("n > 1 OR node IS NOT NULL")

@@ -26,8 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._text import tidy
+
 MAX_VOCABULARY = 1_000_000
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 #: Texts are encoded in groups of about so many characters.
 GROUP_CHARS = 4 << 20
 #: A query keeps every turn's rows, at most the sum of the squared lengths of its words; that sum is bounded.
@@ -143,7 +145,7 @@ class Coder:
                     merged.append(rank)
         self.byte_id = np.array([ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int32)
         self.known = set(ranks.values())
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         self.load("merges", pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int32())}))
         self.load("vocabulary", pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "said": pa.array([t.decode("latin-1") for t in ranks], pa.string())}))
 
@@ -305,6 +307,7 @@ def _apply(docs: DataFrame, text: str, ranks_path: str, pattern: str, made: dict
             own = own or _coder(shared.value, name, pattern)
             columns = each_group(own, batch.column(len(others)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, t) for c, t in zip(columns, made.values()))], [*others, *made])
+        tidy()
 
     return rows.mapInArrow(each, fields + schema)
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import ALNUM, U, Words, mix, passes
+from ._text import ALNUM, U, Words, mix, passes, tidy
 
 SLOTS = 1 << 22
 PREFIXES = (5, 6, 7, 8, 10)
@@ -163,6 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, prior_we
             for low in range(0, len(at), 100_000):
                 part = at[low : low + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(tally[0][part].astype(np.int64)), pa.array(tally[1][part].astype(np.int64))], ["slot", "clean", "toxic"])
+            tally = None
+            tidy()
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([int(total[0])]), pa.array([int(total[1])])], ["slot", "clean", "toxic"])
 
     sums = train.mapInArrow(count, "slot int, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -284,6 +286,7 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for _, _, data, offsets in passes(batch.column(batch.num_columns - 1)):
                 keep += [own.probability(*own.features(n, found)) < 0.5 for n, found in own.documents(Words(data, offsets, ALNUM))]
             yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep, pa.bool_()))
+        tidy()
 
     assert at >= 0
     return rows.mapInArrow(each, docs.schema)

@@ -269,6 +269,15 @@ def structured_parse(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.structured_segments(tagged, 0.5)).alias("segment_index", "s")).select("doc_id", "segment_index", "s.*")
 
 
+@query("""SELECT doc_id, i::int AS segment_index, CASE i WHEN 0 THEN replace(coalesce(text, ''), '<', '') WHEN 1 THEN doc_id::varchar ELSE 'x' END AS segment,
+CASE i WHEN 0 THEN 0.4 WHEN 1 THEN 1.0 ELSE (doc_id % 9 + 1) / 10 END::double AS rate, i <> 1 AS compress FROM documents, range(3) r(i)""")
+def structured_parse_text(spark, sf_dir):
+    """As structured_parse, with each document's whole text in its first segment."""
+    said = F.replace(F.coalesce("text", F.lit("")), F.lit("<"), F.lit(""))
+    tagged = F.concat(F.lit("<llmlingua, rate=0.4>"), said, F.lit("</llmlingua> outside <llmlingua, compress=False>"), F.col("doc_id"), F.lit("</llmlingua><llmlingua, compress=True, rate=0."), F.col("doc_id") % 9 + 1, F.lit(">x</llmlingua>"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.structured_segments(tagged, 0.5)).alias("segment_index", "s")).select("doc_id", "segment_index", "s.*")
+
+
 @query("""SELECT conv_id, turn, 'role ' || role || ' [T] [T] says [P] ' || turn || '.' AS filled, 2 AS slots, 'false,false,true,true,false,false,false' AS mask FROM conversations""")
 def trigger_template(spark, sf_dir):
     template = "role {role} [T] [T] says [P] {turn}."

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from gistmill import config as C
 from gistmill.functions import text as T
-from gistmill.plans import pipelines, providers
+from gistmill.plans import pipelines, providers, registry
 from gistmill.sources import cache
 from gistmill.streaming.incremental import score_stream
 
@@ -37,6 +37,13 @@ def test_structured(spark):
     assert got["prompt"].startswith("keep this all") and got["n_after"] < got["n_before"]
 
 
+def test_structured_parse_reads_whole_texts(spark, tmp_path):
+    text = "a line of the text\nand < another one, beyond the first forty characters " * 200
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["segment_index"]): r["segment"] for r in registry.queries()["structured_parse_text"](spark, str(tmp_path)).collect()}
+    assert len(got) == 6 and got[1, 0] == text.replace("<", "") and got[2, 0] == "" and got[1, 1] == "1" and got[1, 2] == "x"
+
+
 def test_compare(spark, samples):
     got = pipelines.compare(samples.filter("sample_id < 3"), [0.3, 0.7], C.overridden(C.ContextPipeline(), {"chunking": {"method": "paragraph"}}), C.PromptPipeline(context_budget="+0"))
     by = {(r["method"], r["keep_ratio"]): r for r in got.collect()}

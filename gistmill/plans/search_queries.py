@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import recovery, search
+from ..operators import compression, recovery, search
 from . import evolve
 from ._base import ntok, query, table
 
@@ -135,12 +135,19 @@ def projected_cost(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round((n - F.floor(n / 2)) * 0.03 / 1000, 6).alias("saved"))
 
 
+def _replies(spark, sf_dir):
+    """Each document, its lines pruned to their best phrases, and a reply that quotes all of that in runs of 12 words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("original"))
+    lines = T.trimmed_non_empty(F.split(F.coalesce("original", F.lit("")), "\n"))
+    rows = docs.withColumn("compressed", F.array_join(F.transform(lines, lambda x: compression.pruned(x)), " ")).withColumn("said", F.split("compressed", " "))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("said") - 1) / 12).cast("int")), lambda i: F.array_join(F.slice("said", i * 12 + 1, F.lit(12)), " "))
+    return rows.withColumn("response", F.concat(F.lit("It says "), F.array_join(runs, " [and] "), F.lit(" twice"))).drop("said")
+
+
 @query()
 def response_recovery(spark, sf_dir):
     """Replies built from a document's short form, mapped back to its sentences."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("original"))
-    rows = docs.withColumn("compressed", T.truncate_tokens(F.col("original"), F.lit(40))).withColumn("response", F.concat(F.lit("It says "), T.truncate_tokens(F.col("original"), F.lit(12)), F.lit(" twice")))
-    return rows.select("doc_id", F.md5(recovery.recover("original", "compressed", "response")).alias("recovered_md5"))
+    return _replies(spark, sf_dir).select("doc_id", F.md5(recovery.recover("original", "compressed", "response")).alias("recovered_md5"))
 
 
 @query()

@@ -1,9 +1,13 @@
+import hashlib
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from gistmill import config as C
 from gistmill.functions import text as T
-from gistmill.plans import pipelines, providers, registry
+from gistmill.plans import pipelines, providers, registry, search_queries
 from gistmill.sources import cache
 from gistmill.streaming.incremental import score_stream
 
@@ -44,6 +48,32 @@ def test_structured_parse_reads_whole_texts(spark, tmp_path):
     assert len(got) == 6 and got[1, 0] == text.replace("<", "") and got[2, 0] == "" and got[1, 1] == "1" and got[1, 2] == "x"
 
 
+def plain_recovery(original, compressed, response):
+    """recovery.recover_text the plain way: every run of words, longest first, every sentence."""
+    said, out = response.split(" "), []
+    while said:
+        size = next((n for n in range(len(said), 0, -1) if all(" ".join(said[:k]) in compressed for k in range(1, n + 1))), 0)
+        span, said = " ".join(said[: max(size, 1)]), said[max(size, 1) :]
+        words = set(span.lower().split())
+        if size and span not in original and words:
+            ranked = sorted(((-len(words & set(x.lower().split())), i, x.strip()) for i, x in enumerate(re.split(r"[.!?\n]+", original)) if x.strip()))
+            span = ranked[0][2] if ranked and -2 * ranked[0][0] >= len(words) else span
+        out.append(span)
+    return " ".join(out)
+
+
+def test_recovery_meets_the_whole_original(spark, tmp_path):
+    rng = random.Random(3)
+    text = lambda n: "\n".join(", ".join(" ".join(f"w{rng.randint(0, 90)}" for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(1, 8))) + ". And more." for _ in range(n))
+    rows = [(i, text(rng.randint(1, 20))) for i in range(30)] + [(30, None), (31, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    replies = search_queries._replies(spark, str(tmp_path)).collect()
+    got = {r["doc_id"]: r["recovered_md5"] for r in search_queries.response_recovery(spark, str(tmp_path)).collect()}
+    plain = {r["doc_id"]: plain_recovery(r["original"] or "", r["compressed"], r["response"]) for r in replies}
+    assert got == {k: hashlib.md5(v.encode()).hexdigest() for k, v in plain.items()} and len(got) == 32
+    assert sum(plain[r["doc_id"]] != r["response"] for r in replies) > 20
+
+
 def test_compare(spark, samples):
     got = pipelines.compare(samples.filter("sample_id < 3"), [0.3, 0.7], C.overridden(C.ContextPipeline(), {"chunking": {"method": "paragraph"}}), C.PromptPipeline(context_budget="+0"))
     by = {(r["method"], r["keep_ratio"]): r for r in got.collect()}

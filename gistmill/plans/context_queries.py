@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import text as T
 from ..operators import chunking, cleanup, compression, packing, retrieval
+from . import pipelines
 from ._base import keywords, normalized, ntok, paragraphs, phrases, query, sentences, table, tok, words
 
 
@@ -291,6 +292,13 @@ def context_pipeline(spark, sf_dir):
     return packed.select("sample_id", F.md5("context").alias("context_md5"), "n_packed", "tokens_packed", T.n_tokens(F.col("text")).alias("input_tokens"), T.n_tokens(F.col("context")).alias("output_tokens"))
 
 
+@query()
+def context_run(spark, sf_dir):
+    """The whole context pipeline with its default settings: chunk, clean, rank, prune, pack; every document with its query."""
+    run = pipelines.run_context(_docs(spark, sf_dir).join(_asked(spark, sf_dir), "sample_id"))
+    return run.result.select("sample_id", F.md5("context").alias("context_md5"), "n_packed", "tokens_packed", "input_tokens", "output_tokens", F.round("ratio", 6).alias("ratio"))
+
+
 @query(f"""WITH d AS (SELECT doc_id, {words('text')} AS w FROM documents) SELECT doc_id, CASE WHEN len(ws) = 0 THEN 0.0 ELSE len(list_distinct(ws)) / len(ws) + 0.1 * len(list_filter(ws, lambda x: regexp_matches(x, '[0-9]'))) END AS density
 FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS ws FROM documents)""")
 def info_density(spark, sf_dir):

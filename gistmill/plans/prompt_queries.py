@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..functions import text as T
 from ..operators import metrics, prompt
 from ..sources import adapters, cache
+from . import pipelines
 from ._base import keywords, normalized, ntok, query, table, tok
 
 #: Conversations as samples: the system turn instructs, the last user turn asks, all others are contexts.
@@ -162,6 +164,14 @@ def prompt_pipeline(spark, sf_dir):
     return rows.select("sample_id", F.md5("prompt").alias("prompt_md5"), F.col("total").alias("n_before"), "n_after", ratio.alias("ratio"))
 
 
+@query()
+def prompt_run(spark, sf_dir):
+    """The whole prompt pipeline over all conversations: budgets, context ranking and choice, order, sentence filter, token pruning, assembly."""
+    config = C.PromptPipeline(reorder="two_stage", use_sentence_filter=True, force_digits=True, add_instruction=True)
+    run = pipelines.run_prompt(_samples(spark, sf_dir).select("sample_id", "instruction", "question"), _contexts(spark, sf_dir).drop("token_count"), config)
+    return run.result.select("sample_id", F.md5("prompt").alias("prompt_md5"), "input_tokens", "output_tokens")
+
+
 EVAL = f"""s AS (SELECT doc_id, documents.text AS text, b.text AS answer, keep, array_to_string({tok('documents.text')}[1:trunc(len({tok('documents.text')}) * keep)::int], '') AS context, doc_id % 50 = 7 AS failed
   FROM documents JOIN benchmark b ON b.item_id = doc_id % (SELECT max(item_id) + 1 FROM benchmark), (VALUES (0.3::double), (0.5::double), (0.7::double)) k(keep)),
 m AS (SELECT keep, failed, {ntok('text')} AS i, {ntok('context')} AS o, {keywords('text')} AS ka, {keywords('context')} AS kb, contains({normalized('context')}, {normalized('answer')}) AS hit, answer FROM s)"""
@@ -182,6 +192,16 @@ def eval_rollup(spark, sf_dir):
     return found.select(*[F.round(c, 6).alias(c) if c.startswith("avg_") or c.endswith("_pct") else c for c in found.columns])
 
 
+@query()
+def compare_run(spark, sf_dir):
+    """Both pipelines over all documents at three keep ratios, rolled up; samples without a text are errors."""
+    from .context_queries import _asked, _docs
+
+    samples = _docs(spark, sf_dir).join(_asked(spark, sf_dir), "sample_id").withColumn("answer", F.col("query"))
+    found = pipelines.compare(samples, [0.3, 0.5, 0.7])
+    return found.select(*[F.round(c, 6).alias(c) if c.startswith("avg_") or c.endswith("_pct") else c for c in found.columns])
+
+
 PRED = "pred AS (SELECT doc_id, toxic::varchar AS label, CASE WHEN regexp_matches(lower(text), 'idiot|stupid|trash|scum|moron|loser') THEN '1' ELSE '0' END AS predicted FROM labels JOIN documents USING (doc_id))"
 
 

@@ -11,7 +11,7 @@ from ._base import QUERIES, SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context_queries.context_pipeline(spark, sf_dir)
+    return context_queries.context_run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -74,6 +74,23 @@ def test_recovery_meets_the_whole_original(spark, tmp_path):
     assert sum(plain[r["doc_id"]] != r["response"] for r in replies) > 20
 
 
+def test_runs_over_the_tables(spark, tmp_path):
+    kept = "Of the first paragraph this sentence stays"
+    docs = [(0, f"{kept} me@x.org"), (1, "Visit https://a.b/c today for all of it"), (2, "short"), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "first paragraph"), (1, "today")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    turns = [(1, 0, "system", "Be brief."), (1, 1, "user", "One fact. Another fact 77 of it."), (1, 2, "assistant", "A reply with some words. And more words."), (1, 3, "user", "why ?"), (2, 0, "user", "alone")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {q: registry.queries()[q](spark, str(tmp_path)).collect() for q in ("context_run", "prompt_run", "compare_run")}
+    said = {r["sample_id"]: r["context_md5"] for r in found["context_run"]}
+    assert said[0] == hashlib.md5(kept.encode()).hexdigest() and said[1] == hashlib.md5(b"Visit today for all of it").hexdigest()
+    assert said[2] == said[3] == hashlib.md5(b"").hexdigest() and len(said) == 4
+    prompts = {r["sample_id"]: r for r in found["prompt_run"]}
+    assert len(prompts) == 2 and prompts[2]["prompt_md5"] == hashlib.md5(b"alone").hexdigest() and 0 < prompts[1]["output_tokens"] <= prompts[1]["input_tokens"]
+    rolled = {(r["method"], r["keep_ratio"]): (r["num_samples"], r["num_errors"]) for r in found["compare_run"]}
+    assert rolled == {(m, k): (3, 1) for m in ("context", "prompt") for k in (0.3, 0.5, 0.7)}
+
+
 def test_compare(spark, samples):
     got = pipelines.compare(samples.filter("sample_id < 3"), [0.3, 0.7], C.overridden(C.ContextPipeline(), {"chunking": {"method": "paragraph"}}), C.PromptPipeline(context_budget="+0"))
     by = {(r["method"], r["keep_ratio"]): r for r in got.collect()}

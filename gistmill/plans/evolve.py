@@ -44,46 +44,67 @@ def evaluate(spark: SparkSession, items: DataFrame, candidates: dict[int, str],
     return rows.select("candidate", F.col("item_id").alias("instance"), "input", "output", T.answer_score(F.col("output"), F.col("expected")).alias("score"))
 
 
-def reflective(spark: SparkSession, items: DataFrame, seed: dict[str, str], iterations: int = 15, max_calls: int = 10_000, minibatch: int = 5, perfect: float = 1.0, execute: Callable = rule_execute, reflect: Callable = rule_reflect, random_seed: int = 42) -> Outcome:
+def reflective(spark: SparkSession, items: DataFrame, seed: dict[str, str], iterations: int = 15, max_calls: int = 10_000, minibatch: int = 5, perfect: float = 1.0, execute: Callable = rule_execute, reflect: Callable = rule_reflect, random_seed: int = 42, merge: Callable | None = None, max_merges: int = 5) -> Outcome:
     """Keep a pool of prompts; draw a parent from the Pareto front, reflect on its failures in a minibatch, accept a child that does better there, merge complementary parents.
 
+    A candidate is a text for each component of the seed; reflection changes them in turn, and the model is given all of them.
+    After a child is accepted, a merge is due: of the front's pairs the most complementary one is merged component by component
+    and taken if its average reaches the better parent's, at most ``max_merges`` attempts in all.
     A run ends after its iterations or metric calls.  The best average must exceed 0 strictly, so ties keep the earlier one.
     """
-    component = next(iter(seed))
-    pool: dict[int, str] = {0: seed[component]}
+    merge, names, due, tried = merge or merge_texts, list(seed), 0, 0
+    said = lambda texts: "\n".join(texts.values())
+    pool: dict[int, dict[str, str]] = {0: dict(seed)}
     parents: dict[int, list[int]] = {0: []}
     n_items = items.count()
-    scores = evaluate(spark, items, {0: pool[0]}, execute).select("candidate", "instance", "score").cache()
+    scores = evaluate(spark, items, {0: said(pool[0])}, execute).select("candidate", "instance", "score").cache()
     averages = {0: scores.agg(F.avg("score")).first()[0] or 0.0}
     calls, history = n_items, []
     for turn in range(iterations):
         if calls >= max_calls:
             break
         tree = spark.createDataFrame([(c, p) for c, p in parents.items()], "candidate int, parent_ids array<int>")
-        front = search.pareto_front(scores)
+        front = search.pareto_front(scores).cache()
+        if due and tried < max_merges and front.count() > 1:
+            due, tried = due - 1, tried + 1
+            among = search.complementarity(scores.join(front, "candidate", "left_semi"))
+            pair = among.orderBy(F.col("complementarity").desc(), "a", "b").first()
+            a, b = pair["a"], pair["b"]
+            merged = {k: pool[a][k] if pool[a][k] == pool[b][k] else merge(pool[a][k], pool[b][k]) for k in names}
+            new, better = max(pool) + 1, max(averages[a], averages[b])
+            own = evaluate(spark, items, {new: said(merged)}, execute).select("candidate", "instance", "score").cache()
+            average = own.agg(F.avg("score")).first()[0] or 0.0
+            calls += n_items
+            history.append((turn, int(a), float(better), float(average), average >= better, calls, True))
+            if average >= better:
+                pool[new], parents[new], averages[new] = merged, [a, b], average
+                scores = scores.unionByName(own).cache()
+                continue
         parent = search.draw(search.parent_weights(front, tree), random_seed + turn).first()["candidate"]
         batch = items.orderBy(F.md5(F.concat_ws("|", F.lit(random_seed + turn), F.col("item_id"))), "item_id").limit(minibatch)
-        before = evaluate(spark, batch, {parent: pool[parent]}, execute).collect()  # a minibatch
+        before = evaluate(spark, batch, {parent: said(pool[parent])}, execute).collect()  # a minibatch
         calls += len(before)
         mean = sum(r["score"] for r in before) / max(len(before), 1)
         if before and all(r["score"] >= perfect for r in before):
             continue
-        child = reflect(pool[parent], [r.asDict() for r in before if r["score"] < perfect])
+        component = names[turn % len(names)]
+        child = pool[parent] | {component: reflect(pool[parent][component], [r.asDict() for r in before if r["score"] < perfect])}
         new = max(pool) + 1
-        after = [r["score"] for r in evaluate(spark, batch, {new: child}, execute).select("score").collect()]
+        after = [r["score"] for r in evaluate(spark, batch, {new: said(child)}, execute).select("score").collect()]
         calls += len(after)
         gained = sum(after) / max(len(after), 1)
         accepted = gained > mean + 1e-6
         if accepted:
             pool[new], parents[new] = child, [parent]
-            own = evaluate(spark, items, {new: child}, execute).select("candidate", "instance", "score")
+            own = evaluate(spark, items, {new: said(child)}, execute).select("candidate", "instance", "score")
             scores = scores.unionByName(own).cache()
             averages[new] = own.agg(F.avg("score")).first()[0]
             calls += n_items
-        history.append((turn, int(parent), float(mean), float(gained), bool(gained > mean), calls))
+            due += tried < max_merges
+        history.append((turn, int(parent), float(mean), float(gained), accepted, calls, False))
     best = max(averages, key=lambda c: (averages[c], -c))
-    table = spark.createDataFrame(history, "iteration int, selected_idx int, subsample_score_before double, subsample_score_after double, accepted boolean, total_evals int")
-    return Outcome({component: pool[best]}, averages[best], table)
+    table = spark.createDataFrame(history, "iteration int, selected_idx int, subsample_score_before double, subsample_score_after double, accepted boolean, total_evals int, merged boolean")
+    return Outcome(pool[best], averages[best], table)
 
 
 def merge_texts(a: str, b: str, limit: int = 5) -> str:

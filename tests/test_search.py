@@ -74,6 +74,15 @@ def test_loops_improve_and_repeat(spark):
     assert evolve.merge_texts("a\nb", "b\nc") == "a\nb\nc"
 
 
+def test_reflective_merges_complementary_parents(spark):
+    items = spark.createDataFrame([(i, "AB"[i % 2] + str(i), "x") for i in range(8)], "item_id int, input string, expected string")
+    execute = lambda item, prompt: F.when(F.contains(prompt, F.substring(item, 1, 1)), "x").otherwise("y")
+    got = evolve.reflective(spark, items, {"p": "q", "same": "z"}, iterations=16, minibatch=1, execute=execute, reflect=lambda prompt, failures: failures[0]["input"][0])
+    merges = got.history.filter("merged").collect()
+    assert got.score == 1.0 and merges[0]["accepted"] and len(merges) <= 5
+    assert set(got.best) == {"p", "same"} and "A" in "".join(got.best.values()) and "B" in "".join(got.best.values())
+
+
 def test_adapters(spark):
     hot = spark.createDataFrame([("q", "a", (["T"], [["s1", "s2"]]))], "question string, answer string, context struct<title:array<string>,sentences:array<array<string>>>")
     assert rows(adapters.adapt(hot, "hotpot_qa")) == [("T. s1 s2", "q", "a")]

@@ -2,7 +2,8 @@
 
 A document's lines are what lies between line breaks, without the white space around them.  Lines of at least ``min_chars``
 characters within ``threshold`` edits of each other (insertions, deletions, replacements) are linked; linked and equal lines form classes; of each class the
-first line (smallest doc_id, then position) is kept and all others are dropped.  Shorter lines always stay: they repeat by chance.
+first line (smallest doc_id, then position) is kept and all others are dropped.  Shorter lines stay, or with ``short`` form
+classes of exact repeats; links are for lines of ``min_chars`` only.
 
 * *Segments.*  A line of length l is cut into ``threshold + 1`` segments, so a line within that many edits holds one of them
   unchanged.  The index has a key for (l, number, segment); a line of length n probes, for each l from n - threshold to n,
@@ -211,10 +212,10 @@ def _name(a: str, b: str) -> Column:
     return F.concat_ws(":", F.col(a), F.col(b))
 
 
-def drops(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drops(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
     """(doc, dropped, n_near): for documents that lose lines, their places (from 0, in order) and how many go that equal no other line."""
-    lines = _lines(docs, min_chars, key, text)
-    met = links(lines.select("h1", "line"), threshold)
+    lines = _lines(docs, min(1, min_chars) if short else min_chars, key, text)
+    met = links(lines.filter(F.length("line") >= min_chars).select("h1", "line"), threshold)
     classes = components(met.select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b")), kind="string")
     counted = lines.groupBy("h1", "h2").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).withColumn("name", _name("h1", "h2"))
     tied = counted.join(classes, F.col("name") == F.col("node"), "left").filter("n > 1 OR node IS NOT NULL")
@@ -229,9 +230,9 @@ def drops(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHAR
     return gone.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("dropped"), F.count(F.when(F.col("n") == 1, 1)).alias("n_near"))
 
 
-def report(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def report(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
     """Per document: n_lines, n_kept, n_near (dropped lines that equal no other) and the places of the dropped lines."""
-    gone = drops(docs, threshold, min_chars, key, text)
+    gone = drops(docs, threshold, min_chars, key, text, short)
     sizes = docs.select(F.col(key), F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).cast("long").alias("n_lines"))
     out = sizes.join(gone, sizes[key].cast("long") == gone["doc"], "left")
     lost = F.coalesce(F.size("dropped"), F.lit(0)).cast("long")
@@ -241,9 +242,9 @@ def report(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHA
     )
 
 
-def apply(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def apply(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
     """The documents without the dropped lines, all columns kept; a document that loses lines and keeps nothing but white space goes."""
-    gone = drops(docs, threshold, min_chars, key, text).select(F.col("doc").alias("_doc"), F.col("dropped").alias("_dropped"))
+    gone = drops(docs, threshold, min_chars, key, text, short).select(F.col("doc").alias("_doc"), F.col("dropped").alias("_dropped"))
     joined = docs.join(gone, F.col(key).cast("long") == F.col("_doc"), "left")
     kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("_dropped"), i)), "\n")
     changed = joined.withColumn(text, F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(kept))

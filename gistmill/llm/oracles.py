@@ -122,6 +122,9 @@ SELECT doc_id, len(parts)::bigint AS n_lines, len(parts) - coalesce(lost, 0) AS
 FROM raw LEFT JOIN (SELECT doc_id, count(*) AS lost, count(*) FILTER (n = 1) AS near, string_agg(pos::varchar, ',' ORDER BY pos) AS places FROM gone GROUP BY doc_id) USING (doc_id)
 """
 
+#: OP4 with lines of all lengths but 0; links are between lines of 20 characters or more.
+OP4_SHORT = OP4.replace("length(line) >= 20", "line <> ''").replace("a.line <> b.line AND", "a.line <> b.line AND a.c >= 20 AND b.c >= 20 AND")
+
 #: Exact search; the query equals it where its trees are small, as on sf0.01.
 OP1 = """
 WITH v AS (SELECT vec_id, embedding::double[] AS e FROM embeddings WHERE embedding IS NOT NULL)
@@ -133,4 +136,4 @@ WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ann": OP1, "op2_ngram_join": OP2, "op3_decontaminate": OP3, "op4_line_dedup": OP4, "op6_urls": OP6, "op7_warc": OP7, "op8_chat": _op8()}
+    return {"op1_ann": OP1, "op2_ngram_join": OP2, "op3_decontaminate": OP3, "op4_line_dedup": OP4, "op4_line_dedup_short": OP4_SHORT, "op6_urls": OP6, "op7_warc": OP7, "op8_chat": _op8()}

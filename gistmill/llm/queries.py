@@ -34,6 +34,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_kept", "n_near", F.array_join("dropped", ",").alias("dropped"))
 
 
+def op4_line_dedup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op4_line_dedup, with exact repeats of lines of any length but 0."""
+    found = line_dedup.report(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
+    return found.select("doc_id", "n_lines", "n_kept", "n_near", F.array_join("dropped", ",").alias("dropped"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -74,4 +80,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ann, op2_ngram_join, op3_decontaminate, op4_line_dedup, op5_toxicity, op6_urls, op7_warc, op8_chat, op9_pii, op10_bpe)}
+    return {f.__name__: f for f in (op1_ann, op2_ngram_join, op3_decontaminate, op4_line_dedup, op4_line_dedup_short, op5_toxicity, op6_urls, op7_warc, op8_chat, op9_pii, op10_bpe)}

@@ -180,6 +180,13 @@ def test_line_dedup(spark):
     assert line_dedup.report(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    docs = spark.createDataFrame([(1, "Read more\n\nRead more\nshort"), (2, " Read more\nRead mare\n"), (3, "Read more")], "doc_id long, text string")
+    got = {r["doc_id"]: list(r["dropped"]) for r in line_dedup.report(docs, short=True).collect()}
+    assert got == {1: [2], 2: [0], 3: [0]} and {r["doc_id"] for r in line_dedup.apply(docs, short=True).collect()} == {1, 2}
+    assert sum(len(r["dropped"]) for r in line_dedup.report(docs).collect()) == 0
+
+
 # -- toxicity ----------------------------------------------------------------------------------------------------------
 
 

@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, prior_we
 
 
 def _calibrate(model: Model, train: DataFrame) -> Model:
-    """Set lambda, K and the logistic fit from the training documents' segments."""
+    """Set lambda and K from the training documents' segments, then the logistic fit from both features of all of them, in a second pass."""
     shared = train.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,21 +200,31 @@ def _calibrate(model: Model, train: DataFrame) -> Model:
                 for i, (n, found) in enumerate(own.documents(words)):
                     part = scores[words.first[i] : words.first[i + 1]]
                     hist = np.bincount(np.clip(np.round(part * 4) + 60, 0, 120).astype(np.int64), minlength=121)
-                    rows.append((n, [s for s, _, _ in found], hist.tolist()))
+                    rows.append((n, max((s for s, _, _ in found), default=0.0), hist.tolist()))
             kinds = batch.column(0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([kinds, pa.array([r[0] for r in rows], pa.int64()), pa.array([sorted(r[1], reverse=True)[:200] for r in rows], pa.list_(pa.float64())), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["toxic", "n", "segments", "hist"])
+            yield pa.RecordBatch.from_arrays([kinds, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["toxic", "n", "best", "hist"])
 
-    rows = train.mapInArrow(measure, "toxic long, n long, segments array<double>, hist array<long>").toArrow()
+    rows = train.mapInArrow(measure, "toxic long, n long, best double, hist array<long>").toArrow()
     toxic = np.asarray(rows.column("toxic").to_numpy())
     n = np.asarray(rows.column("n").to_numpy())
-    segments = rows.column("segments").to_pylist()
+    best = rows.column("best").to_pylist()
     hist = np.asarray(rows.column("hist").to_pylist(), dtype=float)[toxic == 0].sum(axis=0)
     share, values = hist / max(hist.sum(), 1), (np.arange(121) - 60) / 4
     model.lam = _root(share, values)
-    gaps = [model.lam * max(s, default=0.0) - math.log(max(k, 1)) for s, k, t in zip(segments, n, toxic) if t == 0]
+    gaps = [model.lam * s - math.log(max(k, 1)) for s, k, t in zip(best, n, toxic) if t == 0]
     model.log_k = float(np.mean(gaps)) - 0.5772156649 if gaps else 0.0
-    x = np.array([model.features(int(k), [(v, 0, 0) for v in s]) for s, k in zip(segments, n)])
-    model.beta = _logistic(x, toxic.astype(float))
+    lam, log_k = model.lam, model.log_k
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        own.lam, own.log_k = lam, log_k
+        for batch in batches:
+            found = [own.features(n, x) for _, _, data, offsets in passes(batch.column(1)) for n, x in own.documents(Words(data, offsets, ALNUM))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())], ["toxic", "top", "total"])
+
+    fitted = train.mapInArrow(features, "toxic long, top double, total double").toArrow()
+    x = np.column_stack([fitted.column(c).to_numpy() for c in ("top", "total")])
+    model.beta = _logistic(x, fitted.column("toxic").to_numpy().astype(float))
     return model
 
 

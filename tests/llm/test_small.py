@@ -218,6 +218,21 @@ def test_toxicity_learns(spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).filter("predicted = 1").count() == 0
 
 
+def test_toxicity_is_fitted_to_what_it_scores(spark, monkeypatch):
+    plain = " ".join(f"w{i}" for i in range(60))
+    made = [(i, f"{plain} vile " * 250 if i % 4 == 0 else plain, int(i % 4 == 0)) for i in range(120)]
+    docs, labels = spark.createDataFrame([m[:2] for m in made], "doc_id long, text string"), spark.createDataFrame([(m[0], m[2]) for m in made], "doc_id long, toxic int")
+    seen, real = [], toxicity._logistic
+    monkeypatch.setattr(toxicity, "_logistic", lambda x, y: seen.append(x) or real(x, y))
+    model = toxicity.fit(docs, labels)
+    train = [r["doc_id"] for r in toxicity.training_rows(labels).collect()]
+    texts = [m[1].lower().encode() for m in made if m[0] in train]
+    data, offsets = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+    found = list(model.documents(toxicity.Words(data, offsets, toxicity.ALNUM)))
+    assert max(len(f) for _, f in found) > 200
+    assert np.allclose(sorted(map(tuple, seen[0])), sorted(model.features(n, f) for n, f in found))
+
+
 # -- URL filters -------------------------------------------------------------------------------------------------------
 
 

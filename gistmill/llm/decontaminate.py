@@ -4,8 +4,8 @@ Texts are lower-cased (A-Z only); words are runs of digits, ASCII letters and ch
 of ``n`` words or more gives each window of n consecutive words, a shorter one its whole word sequence; an item without
 words gives nothing.  A training word inside any occurrence of a window is *hit*.
 
-Defined cases: a null or empty text has no words and is clean; a null item text gives no window; repeated items each count
-(by item_id); an empty benchmark leaves every document clean; extra columns are ignored or, in :func:`clean`, kept.
+Defined cases: a null or empty text has no words and is clean; a null item text gives no window; rows of one item_id count
+once; an empty benchmark leaves every document clean; extra columns are ignored or, in :func:`clean`, kept.
 
 The set is broadcast only while its windows number at most ``max_windows`` (so its size has a bound whatever the
 benchmark's); a larger benchmark is cut into slices of that size, each scanned in a pass of its own and the hits united by
@@ -121,7 +121,7 @@ def _hits(docs: DataFrame, windows: WindowSet, key: str, text: str) -> DataFrame
                         continue
                     edge = np.diff(np.concatenate(([0], hit[low:high].astype(np.int8), [0])))
                     runs.append(np.stack((np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)), axis=1).ravel().tolist())
-                    names.append(sorted(own.names[j] for j in items[i]))
+                    names.append(sorted({own.names[j] for j in items[i]}))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], [key, "n_words", "runs", "items"])
 
     return docs.select(key, text).mapInArrow(each, schema)
@@ -162,12 +162,17 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, **options) -> Dat
 def clean(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", n: int = 10, max_windows: int = MAX_WINDOWS, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The training table without the benchmark: ``documents`` drops every contaminated document, ``spans`` cuts the hit words (with what separates them) out of its text.
 
-    All columns stay.  Both modes run in one pass over the documents, slice after slice.
+    All columns stay.  Both modes run in one pass over the documents, slice after slice; spans are cut when all slices are read.
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode: {mode}")
-    out = docs
-    for windows in list(_slices(benchmark, n, max_windows, item_id, item_text)):
+    out, slices = docs, list(_slices(benchmark, n, max_windows, item_id, item_text))
+    if mode == "spans" and len(slices) > 1:
+        out = docs.withColumn("_runs", F.array().cast("array<long>"))
+        for windows in slices:
+            out = _marked(out, windows, text)
+        return _without_runs(out, text)
+    for windows in slices:
         out = _cleaned(out, windows, mode, text)
     return out
 
@@ -201,6 +206,53 @@ def _cleaned(docs: DataFrame, windows: WindowSet, mode: str, text: str) -> DataF
     return docs.mapInArrow(each, docs.schema)
 
 
+def _edges(hit: np.ndarray) -> np.ndarray:
+    """The runs of hit words as first, after-last, first, ..."""
+    edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
+    return np.stack((np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)), axis=1).ravel()
+
+
+def _marked(docs: DataFrame, windows: WindowSet, text: str) -> DataFrame:
+    """The hit words of one slice's windows added to ``_runs``, the last column; texts stay as they are."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(windows), docs.columns.index(text)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        bitmaps = {k: own.bitmap(k) for k in own.lengths}
+        for batch in batches:
+            runs = batch.column(batch.num_columns - 1).to_pylist()
+            for low, _, words in words_of(batch.column(at), ALNUM):
+                hit, items = scan(words, own, bitmaps)
+                for i in items:
+                    runs[low + i] = runs[low + i] + _edges(hit[words.first[i] : words.first[i + 1]]).tolist()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(runs, pa.list_(pa.int64()))], names=batch.schema.names)
+
+    return docs.mapInArrow(each, docs.schema)
+
+
+def _without_runs(docs: DataFrame, text: str) -> DataFrame:
+    """The texts without the words of ``_runs``, and without that column."""
+    at, plain = docs.columns.index(text), docs.drop("_runs")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs, column = batch.column(batch.num_columns - 1).to_pylist(), batch.column(at).to_pylist()
+            for low, _, words in words_of(batch.column(at), ALNUM):
+                hit = np.zeros(len(words.start), dtype=bool)
+                some = [i for i in range(len(words.count)) if runs[low + i]]
+                for i in some:
+                    first = words.first[i]
+                    for a, b in zip(runs[low + i][::2], runs[low + i][1::2]):
+                        hit[first + a : first + b] = True
+                for i in some:
+                    column[low + i] = _cut(words, hit, i)
+            arrays = batch.columns[:-1]
+            arrays[at] = pa.array(column, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:-1])
+
+    return docs.mapInArrow(each, plain.schema)
+
+
 def _cut(words: Words, hit: np.ndarray, i: int) -> str:
     low, high = words.first[i], words.first[i + 1]
     edge = np.diff(np.concatenate(([0], hit[low:high].astype(np.int8), [0])))

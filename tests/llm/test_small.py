@@ -187,6 +187,16 @@ def test_line_dedup_of_short_lines(spark):
     assert sum(len(r["dropped"]) for r in line_dedup.report(docs).collect()) == 0
 
 
+def test_decontaminate_whatever_the_slices(spark):
+    words = [f"word{i}" for i in range(40)]
+    items = spark.createDataFrame([(5, " ".join(words[0:14])), (6, " ".join(words[8:24])), (5, " ".join(words[0:12]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "before " + " ".join(words) + " after"), (2, "nothing of it"), (3, None)], "doc_id long, text string").withColumn("more", F.lit("x"))
+    whole, sliced = ({r["doc_id"]: r for r in decontaminate.report(docs, items, max_windows=m).collect()} for m in (10**6, 1))
+    assert whole == sliced and whole[1]["n_items"] == 2
+    whole, sliced = ({r["doc_id"]: r for r in decontaminate.clean(docs, items, "spans", max_windows=m).collect()} for m in (10**6, 1))
+    assert whole == sliced and not set(words[:24]) & set(whole[1]["text"].split()) and whole[3]["text"] is None
+
+
 # -- toxicity ----------------------------------------------------------------------------------------------------------
 
 

@@ -175,38 +175,56 @@ def beam(spark: SparkSession, items: DataFrame, seed: str, width: int = 3, itera
 # -- trigger tokens ----------------------------------------------------------------------------------------------------
 
 
-def triggers(spark: SparkSession, vocabulary: DataFrame, slots: int = 3, k: int = 10, iterations: int = 50, patience: int = 5, target: int = 1) -> Outcome:
+def triggers(spark: SparkSession, vocabulary: DataFrame, slots: int = 3, k: int = 10, iterations: int = 50, patience: int = 5, target: int | None = 1) -> Outcome:
     """Trigger tokens for a linear scorer: the gradient picks k candidates for a slot, one job scores them, a better one is taken.
 
     The scorer is softmax over the labels' mean vectors of a context's vector plus those of the triggers; its gradient is closed
-    form.  The first value of the metric doesn't count as the best.
+    form and taken anew each turn.  Contexts are all rows of the vocabulary, in one batch; the loss is minus the log probability
+    of ``target``, or without one of each row's own label.  The metric is minus the mean loss.
     """
     rows = vocabulary.select(F.col("vec_id").alias("token"), "embedding", "label")
     means = rows.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     means = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"))
     centres = {r["label"]: r["v"] for r in means.collect()}  # a vector for each label
-    width = len(next(iter(centres.values())))
-    others = [sum(centres[c][i] for c in centres if c != target) / max(1, len(centres) - 1) for i in range(width)]
-    direction = [centres[target][i] - others[i] for i in range(width)]
-    gradient = spark.createDataFrame([([-x for x in direction],)], "gradient array<double>")
-    chosen: list[int] = [r["token"] for r in rows.orderBy("token").limit(slots).collect()]
-    gain = rows.select("token", dot(F.col("embedding"), F.array(*map(F.lit, direction))).alias("s"))
+    labels = sorted(centres)
+    width = len(centres[labels[0]])
+    own = F.array_position(F.array(*map(F.lit, labels)), F.col("label") if target is None else F.lit(target).cast(rows.schema["label"].dataType)).cast("int") - 1
+    contexts = rows.select(own.alias("own"), F.array(*[dot(F.col("embedding"), F.array(*map(F.lit, centres[c]))) for c in labels]).alias("logits")).filter("own >= 0")
+
+    def shift(vectors: list[list[float]]) -> Column:
+        """What triggers add to the logits of any context."""
+        total = [sum(float(v[i]) for v in vectors) for i in range(width)]
+        return F.array(*[F.lit(sum(x * y for x, y in zip(total, centres[c]))) for c in labels])
+
+    def log_p(vectors: list[list[float]]) -> Column:
+        return search.log_softmax(F.zip_with("logits", shift(vectors), lambda a, b: a + b))
 
-    def metric(tokens: list[int]) -> float:
-        return gain.filter(F.col("token").isin(tokens)).agg(F.sum("s")).first()[0] or 0.0
+    def vectors_of(tokens: list[int]) -> dict[int, list[float]]:
+        return {r["token"]: r["embedding"] for r in rows.filter(F.col("token").isin(tokens)).select("token", "embedding").collect()}
 
-    best, idle, history = metric(chosen), 0, []
+    def losses(sets: list[list[list[float]]]) -> list[float]:
+        """The mean loss of each set of triggers over the same contexts, in one job."""
+        found = contexts.agg(*[F.avg(-F.get(log_p(s), F.col("own"))).alias(f"l{i}") for i, s in enumerate(sets)]).first()
+        return [float(x or 0.0) for x in found]
+
+    chosen: list[int] = [r["token"] for r in rows.orderBy("token").limit(slots).collect()]
+    held = vectors_of(chosen)
+    best, idle, history = -losses([[held[t] for t in chosen]])[0], 0, []
     for turn in range(iterations):
         slot = turn % slots
+        now = log_p([held[t] for t in chosen])
+        share = contexts.select("own", F.transform(now, lambda x: F.exp(x)).alias("p")).agg(*[F.avg(F.get("p", F.lit(c)) - F.when(F.col("own") == c, 1.0).otherwise(0.0)) for c in range(len(labels))]).first()
+        slope = [sum(float(w or 0.0) * centres[c][i] for w, c in zip(share, labels)) for i in range(width)]
+        gradient = spark.createDataFrame([(slope,)], "gradient array<double>")
         used = rows.filter(F.col("token").isin(chosen)).select("token")
         candidates = [r["token"] for r in search.hotflip(rows.select("token", "embedding"), gradient, used, k).collect()]
-        scored = gain.filter(F.col("token").isin([*candidates, chosen[slot]])).collect()
-        own = next(r["s"] for r in scored if r["token"] == chosen[slot])
-        top = max(scored, key=lambda r: (r["s"], -r["token"]))
-        idle = 0 if top["s"] > own else idle + 1
-        if top["s"] > own:
-            chosen[slot] = top["token"]
-            best = metric(chosen)
+        held |= vectors_of(candidates)
+        tried = [[*chosen[:slot], t, *chosen[slot + 1 :]] for t in [chosen[slot], *candidates]]
+        scored = losses([[held[t] for t in tokens] for tokens in tried])
+        least = min(range(len(tried)), key=lambda i: (scored[i], i))
+        idle = 0 if scored[least] < scored[0] else idle + 1
+        if scored[least] < scored[0]:
+            chosen, best = tried[least], -scored[least]
         history.append((turn, slot, int(chosen[slot]), round(float(best), 9)))
         if idle >= patience:
             break

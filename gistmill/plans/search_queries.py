@@ -165,4 +165,4 @@ def gradient_beam(spark, sf_dir):
 @query()
 def trigger_search(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    return evolve.triggers(spark, rows, slots=2, k=5, iterations=3).history
+    return evolve.triggers(spark, rows, slots=2, k=5, iterations=3, target=None).history

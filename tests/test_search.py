@@ -1,4 +1,5 @@
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -83,6 +84,27 @@ def test_reflective_merges_complementary_parents(spark):
     assert set(got.best) == {"p", "same"} and "A" in "".join(got.best.values()) and "B" in "".join(got.best.values())
 
 
+def test_triggers_score_rows_by_softmax(spark):
+    rng = random.Random(2)
+    made = [(i, [rng.gauss(2.0 * (i % 3 == c), 1.0) for c in range(3)], i % 3) for i in range(40)]
+    vocabulary = spark.createDataFrame(made, "vec_id long, embedding array<double>, label int")
+    centres = [[sum(v[i] for _, v, c in made if c == label) / sum(c == label for _, _, c in made) for i in range(3)] for label in range(3)]
+
+    def loss(tokens, target):
+        total = 0.0
+        for _, v, label in made:
+            x = [v[i] + sum(made[t][1][i] for t in tokens) for i in range(3)]
+            z = [sum(a * b for a, b in zip(x, c)) for c in centres]
+            total += math.log(sum(math.exp(a) for a in z)) - z[label if target is None else target]
+        return total / len(made)
+
+    for target in (None, 1):
+        got = evolve.triggers(spark, vocabulary, slots=2, k=40, iterations=2, target=target)
+        first = min([0, *range(2, 40)], key=lambda t: loss([t, 1], target))
+        second = min([1, *(t for t in range(2, 40) if t != first), *([0] if first else [])], key=lambda t: loss([first, t], target))
+        assert got.best == [first, second] and abs(got.score + loss(got.best, target)) < 1e-9
+
+
 def test_adapters(spark):
     hot = spark.createDataFrame([("q", "a", (["T"], [["s1", "s2"]]))], "question string, answer string, context struct<title:array<string>,sentences:array<array<string>>>")
     assert rows(adapters.adapt(hot, "hotpot_qa")) == [("T. s1 s2", "q", "a")]

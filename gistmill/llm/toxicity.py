@@ -203,6 +203,7 @@ def _calibrate(model: Model, train: DataFrame) -> Model:
                     rows.append((n, max((s for s, _, _ in found), default=0.0), hist.tolist()))
             kinds = batch.column(0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([kinds, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["toxic", "n", "best", "hist"])
+        tidy()
 
     rows = train.mapInArrow(measure, "toxic long, n long, best double, hist array<long>").toArrow()
     toxic = np.asarray(rows.column("toxic").to_numpy())
@@ -221,6 +222,8 @@ def _calibrate(model: Model, train: DataFrame) -> Model:
         for batch in batches:
             found = [own.features(n, x) for _, _, data, offsets in passes(batch.column(1)) for n, x in own.documents(Words(data, offsets, ALNUM))]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())], ["toxic", "top", "total"])
+            del found
+        tidy()
 
     fitted = train.mapInArrow(features, "toxic long, top double, total double").toArrow()
     x = np.column_stack([fitted.column(c).to_numpy() for c in ("top", "total")])

@@ -223,7 +223,8 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     hubs = index.groupBy(_bare(F.col("key")).alias("key")).agg(F.min("h1").alias("hub"), F.count("*").alias("n"))
     met = probes.join(hubs, (_bare(F.col("probe")) == F.col("key")) & ((F.col("n") > 1) | (F.col("h1") != F.col("hub"))))
     met = cut(met.select("key", "h1", "hub", "n", (F.col("probe").bitwiseAND(F.lit(1)) == 1).alias("indexed")), "line-groups")
-    wanted = met.select("h1").union(met.select("hub")).distinct()
+    # A table, so that its size is known before the lines are read again: no second exchange of all lines where it fits a broadcast.
+    wanted = cut(met.select("h1").union(met.select("hub")).distinct(), "line-wanted")
     texts = cut(once.join(wanted, "h1", "left_semi").select("h1", "line", F.length("line").alias("size"), profile(F.col("line")).alias("letters")), "line-texts")
     pair = [F.col("hub").alias("a1"), F.col("h1").alias("b1")]
     found = _verified(met.filter("h1 <> hub").select(*pair).distinct(), texts, threshold)

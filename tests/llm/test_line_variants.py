@@ -39,16 +39,15 @@ def _lines(kind: str) -> list[str]:
     base = "".join(rng.choice("abcdefgh ") for _ in range(36))
     if kind == "near the base":
         found = {_edited(rng, base, 2) for _ in range(2000)}
-    elif kind == "chains":
+    else:  # and many that share a third, the rest a number: hardly any links
         found = {base}
-        while len(found) < 600:
+        while len(found) < 200:
             found.add(_edited(rng, rng.choice(sorted(found)), rng.choice([1, 2, 3])))
-    else:  # a third in common, the rest a number: hardly any links
-        found = {f"{base[:20]} {rng.randrange(10**9):09d}" for _ in range(1500)}
+        found |= {f"{base[:20]} {rng.randrange(10**9):09d}" for _ in range(300)}
     return sorted(t for t in found if t == t.strip() and len(t) >= 20)
 
 
-@pytest.mark.parametrize("kind", ["near the base", "chains", "numbers"])
+@pytest.mark.parametrize("kind", ["near the base", "chains"])
 def test_variants_of_a_line(spark, kind):
     lines = _lines(kind)
     docs = spark.createDataFrame(pd.DataFrame({"doc_id": range(len(lines)), "text": lines})).repartition(4)

@@ -17,8 +17,8 @@ classes of exact repeats; links are for lines of ``min_chars`` only.
 * Exact repeats are counted first, by digest with partial aggregation, so a line that a third of all documents hold is one row
   from there on; classes come from components of the links; only lines that repeat or link meet the documents again.
 
-Equal lines are told by 128 bits of hashes.  The search for links goes by 64 of them: lines that share those by chance (one
-pair in 2**64) count as connected.
+Equal lines are told by 128 bits of hashes.  The search for links goes by 64 of them: of lines that share those by chance (one
+pair in 2**64) only the first in order is searched.
 
 Defined cases: a null text has one empty line and stays null; empty lines always stay; rows with a null doc_id take no part and
 stay as they are; rows that repeat a doc_id are one document; keys are integers; other columns are kept by :func:`apply`; an empty table gives no rows.
@@ -217,15 +217,19 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     first hubs met most often (of many variants of one text that tends to be the text), and at last every pair of lines that
     isn't connected yet, in a join on the key that admits only pairs of close letter profiles.
     """
-    once = lines.select("h1", "line").distinct()
+    once = lines.groupBy("h1").agg(F.min("line").alias("line"))
     index = keyed(once, index_places(threshold), threshold)
     probes = keyed(once, probe_places(threshold), threshold).select(F.col("key").alias("probe"), "h1")
     hubs = index.groupBy(_bare(F.col("key")).alias("key")).agg(F.min("h1").alias("hub"), F.count("*").alias("n"))
     met = probes.join(hubs, (_bare(F.col("probe")) == F.col("key")) & ((F.col("n") > 1) | (F.col("h1") != F.col("hub"))))
-    met = cut(met.select("key", "h1", "hub", "n", (F.col("probe").bitwiseAND(F.lit(1)) == 1).alias("indexed")), "line-groups")
-    # A table, so that its size is known before the lines are read again: no second exchange of all lines where it fits a broadcast.
-    wanted = cut(met.select("h1").union(met.select("hub")).distinct(), "line-wanted")
-    texts = cut(once.join(wanted, "h1", "left_semi").select("h1", "line", F.length("line").alias("size"), profile(F.col("line")).alias("letters")), "line-texts")
+    # The lines that met, with their groups (at most one a place) and texts, in the same query: it reads the exchange of the lines anew
+    # instead of sending them twice.
+    group = F.struct("key", "hub", "n", (F.col("probe").bitwiseAND(F.lit(1)) == 1).alias("indexed"))
+    sides = F.array(F.struct(F.col("h1").alias("who"), group.alias("group")), F.struct(F.col("hub").alias("who"), F.when(F.lit(False), group).alias("group")))
+    mine = met.select(F.explode(sides).alias("side")).groupBy("side.who").agg(F.collect_list("side.group").alias("groups"))
+    texts = mine.join(once, mine["who"] == once["h1"]).select("h1", "line", F.length("line").alias("size"), profile(F.col("line")).alias("letters"), "groups")
+    texts = cut(texts, "line-groups")
+    met = texts.select("h1", F.explode("groups").alias("group")).select("group.key", "h1", "group.hub", "group.n", "group.indexed")
     pair = [F.col("hub").alias("a1"), F.col("h1").alias("b1")]
     found = _verified(met.filter("h1 <> hub").select(*pair).distinct(), texts, threshold)
 

@@ -7,18 +7,20 @@ words gives nothing.  A training word inside any occurrence of a window is *hit*
 Defined cases: a null or empty text has no words and is clean; a null item text gives no window; rows of one item_id count
 once; an empty benchmark leaves every document clean; extra columns are ignored or, in :func:`clean`, kept.
 
-The set is broadcast only while its windows number at most ``max_windows`` (so its size has a bound whatever the
-benchmark's); a larger benchmark is cut into slices of that size, each scanned in a pass of its own and the hits united by
-document.  No document is shuffled in the ordinary case.
+The set is broadcast in slices of about ``max_windows`` windows (an item of more is cut at words, so a slice has a bound
+whatever the benchmark's size).  The driver and a worker hold one slice at a time; a batch of documents is scanned with each
+slice in turn, and the hits are united by row before anything is counted, dropped or cut.  So the result is the same however
+many slices there are, rows that repeat a doc_id (or have none) stay apart, and no document is shuffled.
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,66 +87,86 @@ def scan(words: Words, windows: WindowSet, bitmaps: dict[int, np.ndarray]) -> tu
     return np.cumsum(delta[:-1]) > 0, items
 
 
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def _pieces(text: str, n: int, limit: int) -> Iterator[str]:
+    """The text in stretches of at most ``limit`` windows of n words; together they have all its windows."""
+    if len(text) // 2 <= limit:
+        yield text
+        return
+    spans = [m.span() for m in _WORD.finditer(text)]
+    for low in range(0, max(1, len(spans) - n + 1), limit):
+        part = spans[low : low + limit + n - 1]
+        if part:
+            yield text[part[0][0] : part[-1][1]]
+
+
 def _slices(benchmark: DataFrame, n: int, max_windows: int, item_id: str, text: str) -> Iterator[WindowSet]:
     """Window sets of at most about ``max_windows`` windows; the items stream through the driver, one slice at a time."""
     held: list[tuple[object, str]] = []
     size = 0
     for row in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).toLocalIterator():
-        here = 1 + (len(row["t"]) // 2 if row["t"] else 0)
-        if held and size + here > max_windows:
-            yield WindowSet(held, n)
-            held, size = [], 0
-        held.append((row["i"], row["t"]))
-        size += here
+        for piece in _pieces(row["t"] or "", n, max_windows):
+            here = 1 + len(piece) // 2
+            if held and size + here > max_windows:
+                yield WindowSet(held, n)
+                held, size = [], 0
+            held.append((row["i"], piece))
+            size += here
     yield WindowSet(held, n)
 
 
-def _hits(docs: DataFrame, windows: WindowSet, key: str, text: str) -> DataFrame:
-    """One row per document: its words, the hit words (as runs first,last) and the names of the items found."""
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
-    schema = f"{key} {dict(docs.dtypes)[key]}, n_words long, runs array<long>, items array<string>"
+def _shared(docs: DataFrame, benchmark: DataFrame, n: int, max_windows: int, item_id: str, text: str) -> list[Broadcast]:
+    return [docs.sparkSession.sparkContext.broadcast(w) for w in _slices(benchmark, n, max_windows, item_id, text)]
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        bitmaps = {k: own.bitmap(k) for k in own.lengths}
-        for batch in batches:
-            counts, runs, names = [], [], []
-            for _, _, words in words_of(batch.column(1), ALNUM):
-                hit, items = scan(words, own, bitmaps)
-                counts += words.count.tolist()
-                some = np.zeros(len(words.count), dtype=bool)
-                some[list(items)] = True
-                for i, (low, high) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
-                    if not some[i]:
-                        runs.append([])
-                        names.append([])
-                        continue
-                    edge = np.diff(np.concatenate(([0], hit[low:high].astype(np.int8), [0])))
-                    runs.append(np.stack((np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)), axis=1).ravel().tolist())
-                    names.append(sorted({own.names[j] for j in items[i]}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], [key, "n_words", "runs", "items"])
 
-    return docs.select(key, text).mapInArrow(each, schema)
+def _opened(shared: list[Broadcast], kept: list) -> Iterator[tuple[WindowSet, dict[int, np.ndarray]]]:
+    """The slices with their bitmaps, one at a time; a lone one is kept for the next batch."""
+    for held in shared:
+        if kept:
+            yield kept[0]
+            continue
+        own = held.value
+        opened = own, {k: own.bitmap(k) for k in own.lengths}
+        if len(shared) == 1:
+            kept.append(opened)
+        yield opened
+        if len(shared) > 1:
+            held.__dict__.pop("_value", None)
+
+
+def _found(column: pa.Array, shared: list[Broadcast], kept: list) -> tuple[list[int], dict[int, np.ndarray], dict[int, set[str]]]:
+    """For the texts of a batch: how many words each has, and by row, where there are any, which words are hit and the names of the items."""
+    counts: list[int] = []
+    hits: dict[int, np.ndarray] = {}
+    names: dict[int, set[str]] = {}
+    for turn, (own, bitmaps) in enumerate(_opened(shared, kept)):
+        for low, _, words in words_of(column, ALNUM):
+            if not turn:
+                counts += words.count.tolist()
+            hit, items = scan(words, own, bitmaps)
+            for i, which in items.items():
+                mask = hit[words.first[i] : words.first[i + 1]]
+                hits[low + i] = hits[low + i] | mask if low + i in hits else mask.copy()
+                names.setdefault(low + i, set()).update(own.names[j] for j in which)
+    return counts, hits, names
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = MAX_WINDOWS, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document: ``n_words``, ``runs`` (hit words as first, after-last, first, ...) and ``items`` (sorted names of the items that occur)."""
-    parts = [_hits(docs, w, key, text) for w in _slices(benchmark, n, max_windows, item_id, item_text)]
-    if len(parts) == 1:
-        return parts[0]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    pairs = F.expr("flatten(collect_list(transform(sequence(0, size(runs) div 2 - 1), i -> struct(runs[2 * i] AS a, runs[2 * i + 1] AS b))))")
-    merged = union.filter("size(runs) > 0").groupBy(key).agg(pairs.alias("p"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("found"))
-    joined = F.expr(
-        "aggregate(array_sort(p), array(CAST(-1 AS bigint), CAST(-1 AS bigint)), (acc, x) -> IF(x.a <= element_at(acc, -1), "
-        "concat(slice(acc, 1, size(acc) - 1), array(greatest(element_at(acc, -1), x.b))), concat(acc, array(x.a, x.b))), acc -> slice(acc, 3, size(acc)))"
-    )
-    merged = merged.select(F.col(key).alias("_k"), joined.alias("runs"), F.col("found").alias("items"))
-    first = parts[0].select(key, "n_words")
-    empty = F.expr("CAST(array() AS array<bigint>)"), F.expr("CAST(array() AS array<string>)")
-    return first.join(merged, first[key].eqNullSafe(merged["_k"]), "left").select(key, "n_words", F.coalesce("runs", empty[0]).alias("runs"), F.coalesce("items", empty[1]).alias("items"))
+    """Per row: ``n_words``, ``runs`` (hit words as first, after-last, first, ...) and ``items`` (sorted names of the items that occur)."""
+    shared = _shared(docs, benchmark, n, max_windows, item_id, item_text)
+    schema = f"`{key}` {dict(docs.dtypes)[key]}, n_words long, runs array<long>, items array<string>"
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list = []
+        for batch in batches:
+            counts, found, names = _found(batch.column(1), shared, kept)
+            runs = [_edges(found[i]).tolist() if i in found else [] for i in range(batch.num_rows)]
+            said = [sorted(names.get(i, ())) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(said, pa.list_(pa.string()))], [key, "n_words", "runs", "items"])
+
+    return docs.select(key, text).mapInArrow(each, schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, **options) -> DataFrame:
@@ -162,43 +184,24 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, **options) -> Dat
 def clean(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", n: int = 10, max_windows: int = MAX_WINDOWS, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The training table without the benchmark: ``documents`` drops every contaminated document, ``spans`` cuts the hit words (with what separates them) out of its text.
 
-    All columns stay.  Both modes run in one pass over the documents, slice after slice; spans are cut when all slices are read.
+    All columns stay.  One pass over the documents; spans are cut when all slices are read.
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode: {mode}")
-    out, slices = docs, list(_slices(benchmark, n, max_windows, item_id, item_text))
-    if mode == "spans" and len(slices) > 1:
-        out = docs.withColumn("_runs", F.array().cast("array<long>"))
-        for windows in slices:
-            out = _marked(out, windows, text)
-        return _without_runs(out, text)
-    for windows in slices:
-        out = _cleaned(out, windows, mode, text)
-    return out
-
-
-def _cleaned(docs: DataFrame, windows: WindowSet, mode: str, text: str) -> DataFrame:
-    shared, at = docs.sparkSession.sparkContext.broadcast(windows), docs.columns.index(text)
+    shared, at = _shared(docs, benchmark, n, max_windows, item_id, item_text), docs.columns.index(text)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        bitmaps = {k: own.bitmap(k) for k in own.lengths}
+        kept: list = []
         for batch in batches:
-            keep, texts = [], []
-            for low, _, words in words_of(batch.column(at), ALNUM):
-                hit, items = scan(words, own, bitmaps)
-                for i in range(len(words.count)):
-                    keep.append(i not in items)
-                    if mode == "spans" and i in items:
-                        texts.append((low + i, _cut(words, hit, i)))
-            if mode == "documents":
-                yield batch.filter(pa.array(keep, pa.bool_()))
-            elif not texts:
+            _, found, _ = _found(batch.column(at), shared, kept)
+            if not found:
                 yield batch
+            elif mode == "documents":
+                yield batch.filter(pa.array([i not in found for i in range(batch.num_rows)], pa.bool_()))
             else:
                 column = batch.column(at).to_pylist()
-                for row, said in texts:
-                    column[row] = said
+                for row, hit in found.items():
+                    column[row] = _cut(column[row], hit)
                 arrays = batch.columns
                 arrays[at] = pa.array(column, batch.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
@@ -212,53 +215,14 @@ def _edges(hit: np.ndarray) -> np.ndarray:
     return np.stack((np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)), axis=1).ravel()
 
 
-def _marked(docs: DataFrame, windows: WindowSet, text: str) -> DataFrame:
-    """The hit words of one slice's windows added to ``_runs``, the last column; texts stay as they are."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(windows), docs.columns.index(text)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        bitmaps = {k: own.bitmap(k) for k in own.lengths}
-        for batch in batches:
-            runs = batch.column(batch.num_columns - 1).to_pylist()
-            for low, _, words in words_of(batch.column(at), ALNUM):
-                hit, items = scan(words, own, bitmaps)
-                for i in items:
-                    runs[low + i] = runs[low + i] + _edges(hit[words.first[i] : words.first[i + 1]]).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(runs, pa.list_(pa.int64()))], names=batch.schema.names)
-
-    return docs.mapInArrow(each, docs.schema)
-
-
-def _without_runs(docs: DataFrame, text: str) -> DataFrame:
-    """The texts without the words of ``_runs``, and without that column."""
-    at, plain = docs.columns.index(text), docs.drop("_runs")
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            runs, column = batch.column(batch.num_columns - 1).to_pylist(), batch.column(at).to_pylist()
-            for low, _, words in words_of(batch.column(at), ALNUM):
-                hit = np.zeros(len(words.start), dtype=bool)
-                some = [i for i in range(len(words.count)) if runs[low + i]]
-                for i in some:
-                    first = words.first[i]
-                    for a, b in zip(runs[low + i][::2], runs[low + i][1::2]):
-                        hit[first + a : first + b] = True
-                for i in some:
-                    column[low + i] = _cut(words, hit, i)
-            arrays = batch.columns[:-1]
-            arrays[at] = pa.array(column, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:-1])
-
-    return docs.mapInArrow(each, plain.schema)
-
-
-def _cut(words: Words, hit: np.ndarray, i: int) -> str:
-    low, high = words.first[i], words.first[i + 1]
-    edge = np.diff(np.concatenate(([0], hit[low:high].astype(np.int8), [0])))
-    out, at = [], words.offsets[i]
-    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
-        out.append(words.data[at : words.start[low + a]].tobytes())
-        at = words.end[low + b - 1]
-    out.append(words.data[at : words.offsets[i + 1]].tobytes())
+def _cut(text: str, hit: np.ndarray) -> str:
+    """The text without its hit words and what separates them."""
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    words = Words(data, np.array([0, len(data)]), ALNUM, hashed=False)
+    runs = _edges(hit).tolist()
+    out, at = [], 0
+    for a, b in zip(runs[::2], runs[1::2]):
+        out.append(data[at : words.start[a]].tobytes())
+        at = words.end[b - 1]
+    out.append(data[at:].tobytes())
     return b"".join(out).decode()

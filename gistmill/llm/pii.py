@@ -2,7 +2,7 @@
 
 Found and validated: card numbers (13 to 19 digits, Luhn), IBANs (mod 97), US social-security numbers, international phone
 numbers, IPv4 addresses, dates from 1900 to 2099 (year-month-day, day.month.year, day/month/year) and e-mail addresses
-(the letters and digits before the @).  A value is read as a number below the size of its format, permuted by a balanced
+(the letters and digits before the @, of 64 characters at most there).  A value is read as a number below the size of its format, permuted by a balanced
 Feistel network whose rounds are keyed HMACs (values outside the format are walked on), and written back with its own
 separators; check digits are set anew.  The key and the value alone fix the pseudonym, so equal values stay linked across
 documents and machines, and :func:`permute` with ``back=True`` restores them.
@@ -24,20 +24,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 ROUNDS = 8
+#: Characters before the @ that an e-mail address may have at most; a longer run is none.
+MAX_LOCAL = 64
 CACHE_VALUES = 100_000
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 
 _PATTERNS = {
-    "card": r"(?<![0-9A-Za-z])(?:[0-9][ -]?){12,18}[0-9](?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9])\+[0-9]{1,3}[ -]?\(?[0-9]{3}\)?[ -][0-9]{3}[ -][0-9]{4}(?![0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9./])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![0-9])",
-    "email": r"[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
 }
 PATTERNS = {kind: re.compile(p) for kind, p in _PATTERNS.items()}
 _DIGIT = re.compile("[0-9]")
+#: Groups of digits with one space or hyphen between them; a card is some neighbouring groups of such a run.
+_DIGIT_RUN = re.compile(r"(?<![0-9A-Za-z])[0-9]+(?:[ -][0-9]+)*(?![0-9A-Za-z])")
+_DIGITS = re.compile("[0-9]+")
+_LOCAL_END, _HOST = re.compile(r"[A-Za-z0-9._+-]"), re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 
 
 def permute(value: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
@@ -82,9 +86,13 @@ def _digits(text: str) -> str:
     return "".join(_DIGIT.findall(text))
 
 
+def _valid_card(digits: str) -> bool:
+    return luhn_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
+
+
 def _card(text: str, key: bytes, back: bool) -> str | None:
     digits = _digits(text)
-    if luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+    if not _valid_card(digits):
         return None
     body = str(permute(int(digits[:-1]), 10 ** (len(digits) - 1), key, "card", back)).zfill(len(digits) - 1)
     return _fill(text, body + luhn_digit(body))
@@ -172,6 +180,49 @@ def _email(text: str, key: bytes, back: bool) -> str | None:
     return "".join(reversed(out)) + at + host
 
 
+def _card_spans(text: str) -> Iterator[tuple[int, int]]:
+    """From each group of a run on, the longest stretch of whole groups with 13 to 19 digits that passes; the search goes on behind it."""
+    for run in _DIGIT_RUN.finditer(text):
+        if len(run[0]) < 13:
+            continue
+        groups = [m.span() for m in _DIGITS.finditer(text, run.start(), run.end())]
+        i = 0
+        while i < len(groups):
+            total, j, best = 0, i, None
+            while j < len(groups) and (total := total + groups[j][1] - groups[j][0]) <= 19:
+                if total >= 13 and _valid_card(_digits(text[groups[i][0] : groups[j][1]])):
+                    best = j
+                j += 1
+            if best is not None:
+                yield groups[i][0], groups[best][1]
+                i = best
+            i += 1
+
+
+def _email_spans(text: str) -> Iterator[tuple[int, int]]:
+    """For each @ the characters before it back to the last find, from the first letter or digit on, and the host after it."""
+    done = 0
+    for m in _HOST.finditer(text):
+        first = m.start()
+        while first > done and _LOCAL_END.match(text, first - 1):
+            first -= 1
+        while first < m.start() and text[first] in "._+-":
+            first += 1
+        if 0 < m.start() - first <= MAX_LOCAL:
+            yield first, m.end()
+            done = m.end()
+
+
+def spans(text: str, kind: str) -> Iterator[tuple[int, int]]:
+    """Places of possible values of a kind, in order; linear in the text."""
+    if kind == "card":
+        yield from _card_spans(text)
+    elif kind == "email":
+        yield from _email_spans(text)
+    else:
+        yield from (m.span() for m in PATTERNS[kind].finditer(text))
+
+
 KINDS: dict[str, Callable[[str, bytes, bool], str | None]] = {"card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date, "email": _email}
 
 
@@ -179,17 +230,18 @@ def find(text: str, key: bytes, cache: dict | None = None, back: bool = False) -
     """The validated values of a text, in order and apart: (first, after last, kind, pseudonym)."""
     cache = {} if cache is None else cache
     found: list[tuple[int, int, str, str]] = []
-    for kind, pattern in PATTERNS.items():
+    for kind, change in KINDS.items():
         if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
             continue
-        for m in pattern.finditer(text):
-            if (kind, m[0]) not in cache:
+        for first, last in spans(text, kind):
+            said = text[first:last]
+            if (kind, said) not in cache:
                 if len(cache) >= CACHE_VALUES:
                     cache.clear()
-                cache[kind, m[0]] = KINDS[kind](m[0], key, back)
-            made = cache[kind, m[0]]
+                cache[kind, said] = change(said, key, back)
+            made = cache[kind, said]
             if made is not None:
-                found.append((m.start(), m.end(), kind, made))
+                found.append((first, last, kind, made))
     found.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str, str]] = []
     for x in found:

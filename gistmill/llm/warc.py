@@ -79,17 +79,21 @@ def _page(urn: str) -> int | None:
 # -- packages ----------------------------------------------------------------------------------------------------------
 
 
+#: What a record takes beside its packed bytes: its line of the index, as held while the package is filled.
+ENTRY_BYTES = 256
+
+
 class Package:
-    """A package being filled in memory."""
+    """A package being filled in memory; ``size`` counts packed records and their index lines."""
 
     def __init__(self):
         self.data, self.index, self.size = io.BytesIO(), [], 0
 
-    def add(self, page_id: int | None, record: bytes, payload_bytes: int) -> None:
+    def add(self, page_id: int | None, record: bytes) -> None:
         packed = gzip.compress(record, compresslevel=1, mtime=0)
         self.index.append({"page": page_id, "offset": self.data.tell(), "length": len(packed)})
         self.data.write(packed)
-        self.size += payload_bytes
+        self.size += len(packed) + ENTRY_BYTES
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
@@ -212,7 +216,7 @@ def write_packages(pages: DataFrame, folder: str | None = None, date: str = "202
         for batch in batches:
             for i in range(batch.num_rows):
                 page_id, url, payload, digest, refers_to = (batch.column(j)[i].as_py() for j in range(5))
-                package.add(page_id, build_record(page_id, url, payload, digest, refers_to, date), 0 if refers_to is not None else len(payload))
+                package.add(page_id, build_record(page_id, url, payload, digest, refers_to, date))
                 if package.size >= package_bytes:
                     yield save()
         if package.index:

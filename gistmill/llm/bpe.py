@@ -129,6 +129,10 @@ def split_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return points, np.flatnonzero(start), text_at
 
 
+#: Tokens that one ordered aggregation decodes.
+DECODE_TOKENS = 1_000_000
+
+
 class Coder:
     """Encodes and decodes with one vocabulary; lives as long as the Python worker."""
 
@@ -250,22 +254,28 @@ class Coder:
         """The bytes that ids stand for."""
         sizes = np.array([len(x) // 4 for x in encoded], dtype=np.int64)
         tok = np.frombuffer(b"".join(encoded), dtype="<u4").astype(np.int64)
-        out = [b""] * len(encoded)
         if not len(tok):
-            return out
+            return [b""] * len(encoded)
         if unknown := set(np.unique(tok).tolist()) - self.known:
             raise ValueError(f"no entry for id {min(unknown)}")
+        # Pieces of documents, and runs of whole pieces of a million tokens: a document of any length is decoded in bounded memory.
         ends = np.cumsum(sizes)
-        low = 0
-        while low < len(encoded):
-            high = max(low + 1, int(np.searchsorted(ends, ends[low] - sizes[low] + 1_000_000, side="right")))
-            a, b = int(ends[low] - sizes[low]), int(ends[high - 1])
-            rows = pa.table({"doc": np.repeat(np.arange(low, high, dtype=np.int64), sizes[low:high]), "pos": np.arange(a, b), "tok": tok[a:b].astype(np.int32)})
+        owners, edges = [], [0]
+        for doc, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist())):
+            cuts = [*range(end - size + DECODE_TOKENS, end, DECODE_TOKENS), end] if size else []
+            edges += cuts
+            owners += [doc] * len(cuts)
+        places = np.array(edges, dtype=np.int64)
+        low, parts = 0, [[] for _ in encoded]
+        while low < len(owners):
+            high = max(low + 1, int(np.searchsorted(places, places[low] + DECODE_TOKENS, side="right")) - 1)
+            a, b = int(places[low]), int(places[high])
+            rows = pa.table({"doc": np.repeat(np.arange(low, high, dtype=np.int64), np.diff(places[low : high + 1])), "pos": np.arange(a, b), "tok": tok[a:b].astype(np.int32)})
             found = self.query(DECODE, "tokens", rows)
-            for doc, said in zip(found.column("doc").to_pylist(), found.column("said").to_pylist()):
-                out[doc] = said.encode("latin-1")
+            for piece, said in sorted(zip(found.column("doc").to_pylist(), found.column("said").to_pylist())):
+                parts[owners[piece]].append(said.encode("latin-1"))
             low = high
-        return out
+        return [b"".join(p) for p in parts]
 
 
 _coders: dict[tuple[str, str], Coder] = {}

@@ -32,6 +32,8 @@ SHARD_ROWS = 16_384
 BLOCK_ROWS = 1_024
 REPLICAS = 4
 LEAF = 64
+#: Bound of the rounding of an inner product, against the sum of the squared norms.
+ROUNDING = 1e-12
 
 
 class Tree:
@@ -76,6 +78,8 @@ class Tree:
         state = _Best(len(queries), k)
         lifted = np.column_stack([queries, np.zeros(len(queries))])
         base = np.einsum("ij,ij->i", queries, queries) + self.top
+        # Rounding is in proportion to the squared norms: what lies within it of a bound counts as inside.
+        state.slack, size = ROUNDING * base, np.sqrt(base)
         met = np.full(len(queries), -1)
         self._down(0, np.arange(len(queries)), lifted, queries, query_ids, state, met)
         work = [(0, np.arange(len(queries)))]
@@ -86,10 +90,10 @@ class Tree:
                 self._leaf(low, high, active[met[active] != node], queries, query_ids, state)
                 continue
             away = np.sqrt(((lifted[active] - vantage) ** 2).sum(axis=1))
-            radius = np.sqrt(np.maximum(base[active] - 2 * state.worst[active], 0.0))
+            radius = np.sqrt(np.maximum(base[active] - 2 * state.worst[active], 0.0) + 4 * state.slack[active])
             for child, a, b in ((right, ranges[2], ranges[3]), (left, ranges[0], ranges[1])):
                 gap = np.maximum(np.maximum(a - away, away - b), 0.0)
-                keep = ~(factor * gap > radius * (1 + 1e-9) + 1e-9)
+                keep = ~(factor * gap > radius * (1 + 1e-9) + 1e-9 * size[active])
                 if keep.any():
                     work.append((child, active[keep]))
         return (*state.rows(), state.taken)
@@ -111,7 +115,7 @@ class Tree:
             return
         scores = queries[active] @ self.vectors[low:high].T
         state.taken += scores.size
-        near = scores >= state.worst[active][:, None] - 1e-9
+        near = scores >= (state.worst - state.slack)[active][:, None]
         near &= self.ids[low:high][None, :] != query_ids[active][:, None]
         q, v = np.nonzero(near)
         if len(q):
@@ -125,7 +129,7 @@ class _Best:
     def __init__(self, n: int, k: int):
         self.k, self.taken = k, 0
         self.score, self.id = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
-        self.worst = np.full(n, -np.inf)
+        self.worst, self.slack = np.full(n, -np.inf), np.zeros(n)
 
     def offer(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         own = np.unique(q)

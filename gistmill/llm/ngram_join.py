@@ -19,7 +19,7 @@ No step samples, caps or drops candidates; shuffles carry packed arrays, not a r
 
 Defined cases: a text of fewer than 5 words is one shingle of all of them; without words (null, empty, white space) the set is
 empty and links with nothing; rows with a null doc_id take no part; rows that repeat a doc_id are one document (the union of
-their shingles, the largest count); an empty table gives no rows; extra columns are ignored.
+their shingles); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._shared import cut, text_bytes
+from ._shared import cut, spare, text_bytes
 from ._text import SPACED, U, Words, mix, tidy, words_of
 
 SHINGLE = 5
@@ -125,6 +125,16 @@ def _owners(docs: list[bytes], counts: list[bytes]) -> np.ndarray:
     return np.concatenate([np.repeat(_unpack_docs(d), _from_planes(c)) for d, c in zip(docs, counts)])
 
 
+def _width(buckets: int) -> type:
+    """The least type of a bucket's number; 16 bits sort by radix."""
+    return np.uint16 if buckets <= 65_536 else np.int32
+
+
+def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each value, by its upper bits."""
+    return ((values >> U(32)) * U(buckets) >> U(32)).astype(_width(buckets))
+
+
 def _group(docs: np.ndarray, n: int) -> np.ndarray:
     return (mix(docs.astype(np.int64).view(U)) % U(n)).astype(np.int64)
 
@@ -167,8 +177,7 @@ def _shingles(docs: DataFrame, buckets: int, k: int, key: str, text: str) -> Dat
 
         def flush() -> Iterator[pa.RecordBatch]:
             values, owners = np.concatenate([v for v, _ in held]), np.concatenate([o for _, o in held])
-            keys = ((values >> U(48)) * U(buckets) >> U(16)).astype(np.uint16)
-            yield from _packed(keys, None, owners, values)
+            yield from _packed(_bucket(values, buckets), None, owners, values)
 
         for batch in batches:
             ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
@@ -215,7 +224,7 @@ def _shared_only(buckets: int):
         order = np.argsort(docs, kind="stable")
         values, docs, codes = values[order], docs[order], codes[order]
         tidy()
-        return pa.Table.from_batches(list(_packed(_group(docs, buckets).astype(np.uint16), bucket, docs, values, codes)), schema=_batch([]).schema)
+        return pa.Table.from_batches(list(_packed(_group(docs, buckets).astype(_width(buckets)), bucket, docs, values, codes)), schema=_batch([]).schema)
 
     return each
 
@@ -228,7 +237,7 @@ def _assemble(percent: int):
     def each(key, group):
         group = group.combine_chunks()
         columns = {c: group.column(c).to_pylist() for c in NAMES}
-        sizes, reps, parts = {}, {}, []
+        sizes, reps, united, parts = {}, {}, {}, []
         for bucket, docs, counts, hashes, codes in zip(columns["bucket"], columns["docs"], columns["counts"], columns["hashes"], columns["codes"]):
             if bucket < 0:
                 ids = np.frombuffer(docs, dtype="<i8")
@@ -237,8 +246,11 @@ def _assemble(percent: int):
                     sizes[i] = max(n, sizes.get(i, 0))
             elif bucket == -2:
                 reps.update(zip(ids.tolist(), np.frombuffer(hashes, dtype="<i8").tolist()))
+            elif bucket == -3:
+                united.update(zip(ids.tolist(), np.frombuffer(hashes, dtype="<i8").tolist()))
             else:
-                parts.append((_owners([docs], [counts]), _from_six(hashes) | U(bucket << 48), np.frombuffer(codes, dtype=np.uint8)))
+                parts.append((_owners([docs], [counts]), _from_six(hashes) | U((bucket & 0xFFFF) << 48), np.frombuffer(codes, dtype=np.uint8)))
+        sizes.update(united)
         found = {}
         if parts:
             docs, values, codes = (np.concatenate([p[i] for p in parts]) for i in range(3))
@@ -261,6 +273,26 @@ def _assemble(percent: int):
     return each
 
 
+def repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(doc): the ids that several rows have."""
+    ids = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"))
+    return ids.groupBy("doc").agg(F.count("*").alias("c")).filter("c > 1").select("doc")
+
+
+def union_sizes(docs: DataFrame, ids: DataFrame, k: int, key: str, text: str) -> DataFrame:
+    """(doc, n): how many shingles the rows of each of these ids have together; a row a shingle, but of these documents only."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            for low, high, words in words_of(batch.column(1), SPACED):
+                values, per = shingle_sets(words, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[low:high], per)), pa.array(values.view(np.int64))], ["doc", "v"])
+
+    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("said")).join(ids, "doc", "left_semi")
+    return rows.mapInArrow(each, "doc long, v long").distinct().groupBy("doc").agg(F.count("*").alias("n"))
+
+
 def copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, rep): documents whose text equals another's, with the smallest id that has it."""
     rows = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.sha2(F.col(text).cast("binary"), 256).alias("digest"))
@@ -268,12 +300,14 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return rows.join(firsts, F.col("digest") == F.col("d")).select("doc", "rep")
 
 
-def _copy_rows(found: DataFrame, buckets: int) -> DataFrame:
+def _marked_rows(found: DataFrame, buckets: int, mark: int) -> DataFrame:
+    """Pairs (document, number) packed for the documents' groups, under a mark in the place of the bucket."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, reps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             groups = _group(docs, buckets)
-            yield _batch([(g, -2, docs[groups == g].astype("<i8").tobytes(), b"", reps[groups == g].astype("<i8").tobytes(), b"") for g in np.unique(groups).tolist()])
+            yield _batch([(g, mark, docs[groups == g].astype("<i8").tobytes(), b"", reps[groups == g].astype("<i8").tobytes(), b"") for g in np.unique(groups).tolist()])
 
     return found.mapInArrow(each, PACKED)
 
@@ -293,7 +327,7 @@ def _prefix_rows(sets: DataFrame, buckets: int) -> DataFrame:
                 size += len(values)
                 if size >= FLUSH or i == len(prefixes) - 1:
                     values = np.concatenate(held)
-                    yield from _packed(((values >> U(48)) * U(buckets) >> U(16)).astype(np.uint16), None, np.concatenate(owners), values)
+                    yield from _packed(_bucket(values, buckets), None, np.concatenate(owners), values)
                     held, owners, size = [], [], 0
 
     return sets.filter("shared IS NOT NULL").select("doc_id", "prefix", "shared").mapInArrow(each, PACKED)
@@ -443,10 +477,18 @@ def _search(percent: int):
 
 def cluster(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document."""
-    buckets = min(65_536, max(32, -(-text_bytes(docs, text) // BUCKET_BYTES)))
-    same = cut(copies(docs, key, text), "copies")
+    buckets = max(32, -(-text_bytes(docs, text) // BUCKET_BYTES))
+    several = cut(repeats(docs, key), "repeats")
+    same, more = copies(docs, key, text), None
+    if not several.isEmpty():
+        same = same.join(several, "doc", "left_anti").join(several.select(F.col("doc").alias("rep")), "rep", "left_anti").select("doc", "rep")
+        more = cut(union_sizes(docs, several, k, key, text), "repeats")
+    same = cut(same, "copies")
     shared = _shingles(docs, buckets, k, key, text).groupBy("key").applyInArrow(_shared_only(buckets), PACKED)
-    grouped = shared.unionByName(_copy_rows(same, buckets)).groupBy("key")
+    marked = _marked_rows(same, buckets, -2)
+    if more is not None:
+        marked = marked.unionByName(_marked_rows(more, buckets, -3))
+    grouped = shared.unionByName(marked).groupBy("key")
     sets = cut(grouped.applyInArrow(_assemble(percent), "doc_id long, n long, rep long, prefix int, shared binary"), "sets")
     edges = _prefix_rows(sets, buckets).groupBy("key").applyInArrow(_neighbours, "a long, b long")
     hoods = components(edges)
@@ -466,5 +508,6 @@ def cluster(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, key: str
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Of each group of linked documents the one with the smallest id, with all its columns."""
-    gone = cluster(docs, key=key, text=text, **options).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    other = spare(docs, "gone")
+    gone = cluster(docs, key=key, text=text, **options).filter("component_id <> doc_id").select(F.col("doc_id").alias(other))
+    return docs.join(gone, F.col(key) == F.col(other), "left_anti")

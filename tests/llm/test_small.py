@@ -128,7 +128,7 @@ def test_decontamination(spark):
     texts = [(1, "clean text"), (2, "x THE quick-brown fox jumps over 13 lazy dogs while é sleeping y"), (3, "a short ITEM, here"), (4, None), (5, ""), (6, "the quick brown fox jumps over 13 lazy dogs")]
     docs = spark.createDataFrame([(i, t, "k") for i, t in texts], "doc_id long, text string, source string")
     got = {r["doc_id"]: r for r in decontaminate.report(docs, bench).collect()}
-    assert [got[i]["n_hit"] for i in range(1, 7)] == [0, 12, 2, 0, 0, 0] or got[2]["n_hit"] == 11
+    assert [got[i]["n_hit"] for i in range(1, 7)] == [0, 12, 2, 0, 0, 0]
     assert got[3]["items_sha256"] == hashlib.sha256(b"10").hexdigest() and got[1]["items_sha256"] == hashlib.sha256(b"").hexdigest()
     sliced = rows(decontaminate.report(docs, bench, max_windows=1).orderBy("doc_id"))
     assert sliced == rows(decontaminate.report(docs, bench).orderBy("doc_id"))

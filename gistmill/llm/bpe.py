@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from ._text import tidy
 
 MAX_VOCABULARY = 1_000_000
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 #: Texts are encoded in groups of about so many characters.
-GROUP_CHARS = 4 << 20
+GROUP_CHARS = 1 << 20
 #: A query keeps every turn's rows, at most the sum of the squared lengths of its words; that sum is bounded.
-MAX_ROWS = 20_000_000
+MAX_ROWS = 5_000_000
 #: A longer word contracts on a heap instead: its turns would number in the thousands.
 LONG_WORD = 1024
 
@@ -130,7 +130,7 @@ def split_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 #: Tokens that one ordered aggregation decodes.
-DECODE_TOKENS = 1_000_000
+DECODE_TOKENS = 200_000
 
 
 class Coder:
@@ -258,7 +258,7 @@ class Coder:
             return [b""] * len(encoded)
         if unknown := set(np.unique(tok).tolist()) - self.known:
             raise ValueError(f"no entry for id {min(unknown)}")
-        # Pieces of documents, and runs of whole pieces of a million tokens: a document of any length is decoded in bounded memory.
+        # Pieces of documents, and runs of whole pieces: a document of any length is decoded in bounded memory.
         ends = np.cumsum(sizes)
         owners, edges = [], [0]
         for doc, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist())):

@@ -11,7 +11,7 @@ TOKEN = r"[ \t\n\r\f]*(?:[\p{L}\p{N}_]+|[^ \t\n\r\f\p{L}\p{N}_])|[ \t\n\r\f]+$"
 #: The patterns of the clean-up rules and unit splitters.
 URL = r"https?://[^\s<>\"']+|www\.[^\s<>\"']+"
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-SPECIAL = r"[^\w\s.,;:!?'\"()-]"
+SPECIAL = r"[^\w\s.,;:!?'\"\-\(\)\[\]{}]"
 UNITS = {"token": r"\s+", "phrase": r"[,:;\-]+|\n+", "sentence": r"(?<=[.!?])\s+|\n+"}
 
 

@@ -92,8 +92,15 @@ def ucb_allocation(stats: DataFrame, budget: int, minimum: int = 1, c: float = 1
 
 
 def proportional_allocation(rows: DataFrame, total: int) -> DataFrame:
-    """max(1, int(total * score / sum)) for each row."""
-    return rows.withColumn("allocation", F.greatest(F.lit(1), (F.lit(total) * F.col("score") / F.sum("score").over(W.partitionBy())).cast("int")))
+    """max(1, int(total * score / sum)) for each row; scores count as 0.01 at least."""
+    score = F.greatest(F.col("score"), F.lit(0.01))
+    return rows.withColumn("allocation", F.greatest(F.lit(1), (F.lit(total) * score / F.sum(score).over(W.partitionBy())).cast("int")))
+
+
+def select_next(stats: DataFrame, c: float = 1.414, order: str = "prompt") -> DataFrame:
+    """The row to try next: the highest upper bound, of equal ones the first in order."""
+    total = F.greatest(F.sum("n").over(W.partitionBy()), F.lit(1))  # a beam, a handful of rows
+    return stats.withColumn("ucb", ucb(F.col("mean"), F.col("n"), total, c)).orderBy(F.col("ucb").desc(), order).limit(1)
 
 
 def prune_beam(rows: DataFrame, width: int) -> DataFrame:

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import spare
 from ._text import ALNUM, U, Words, mix, passes, tidy
 
 SLOTS = 1 << 22
@@ -59,19 +60,19 @@ def slots(words: Words) -> np.ndarray:
 
 def maximal_segments(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[float, int, int]]:
     """All maximal-scoring segments, given the running sums and the runs of positive scores: (score, first, after last)."""
-    stack: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, after last
+    # Sum before, sum after, first, after last, and the last earlier entry with a smaller sum before: following these keeps the scan linear.
+    stack: list[tuple[float, float, int, int, int]] = []
     for first, last in zip(starts.tolist(), ends.tolist()):
         before, after = float(sums[first]), float(sums[last])
-        while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][0] >= before:
-                j -= 1
-            if j < 0 or stack[j][1] >= after:
-                stack.append((before, after, first, last))
-                break
-            before, first = stack[j][0], stack[j][2]
+        j = len(stack) - 1
+        while j >= 0 and stack[j][0] >= before:
+            j = stack[j][4]
+        while j >= 0 and stack[j][1] < after:
+            before, first, lower = stack[j][0], stack[j][2], stack[j][4]
             del stack[j:]
-    return [(after - before, first, last) for before, after, first, last in stack]
+            j = lower
+        stack.append((before, after, first, last, j))
+    return [(after - before, first, last) for before, after, first, last, _ in stack]
 
 
 @dataclass
@@ -127,7 +128,7 @@ class Model:
 
 
 def _lowered(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
-    return docs.select(*columns, F.lower(F.col(text)).alias("_text"))
+    return docs.select(*columns, F.lower(F.col(text)).alias(spare(docs, "_text")))
 
 
 def training_rows(labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -261,7 +262,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` but the text, with score, predicted (1 from 0.5 on), n_words, n_passages, top_excess and the significant passages (first word, words, excess).  Narrow: nothing is shuffled."""
+    """All columns of ``docs`` but the text, with score, predicted (1 from 0.5 on), n_words, n_passages, top_excess and the significant passages (first word, words, excess); columns of these names in ``docs`` give way to them.  Narrow: nothing is shuffled."""
     names = [c for c in docs.columns if c != text]
     taken = [c for c in names if c in ("score", "predicted", "n_words", "n_passages", "top_excess", "passages")]
     names = [c for c in names if c not in taken]
@@ -289,8 +290,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents that aren't predicted toxic, with all their columns."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
-    rows = docs.withColumn("_lowered", F.lower(F.col(text)))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select("*", F.lower(F.col(text)).alias(spare(docs, "_lowered")))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -301,5 +302,4 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep, pa.bool_()))
         tidy()
 
-    assert at >= 0
     return rows.mapInArrow(each, docs.schema)

@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import struct
+import time
 import zipfile
 
 import numpy as np
@@ -208,6 +209,34 @@ def test_maximal_segments():
     assert [(s, a, b) for s, a, b in found] == [(4.0, 0, 1), (3.0, 2, 3), (7.0, 4, 11)]
 
 
+def best_segments(scores: list[float], low: int, high: int) -> list[tuple[float, int, int]]:
+    """By the definition: the best stretch (the shortest of equals, then the first), then those left and right of it."""
+    every = [(-sum(scores[a:b]), b - a, a, b) for a in range(low, high) for b in range(a + 1, high + 1)]
+    if not every or min(every)[0] >= 0:
+        return []
+    best, _, a, b = min(every)
+    return [*best_segments(scores, low, a), (-best, a, b), *best_segments(scores, b, high)]
+
+
+def positive_segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], scores > 0, [False])).astype(np.int8)))
+    return toxicity.maximal_segments(np.concatenate(([0.0], np.cumsum(scores))), edge[::2], edge[1::2])
+
+
+def test_maximal_segments_by_definition():
+    rng = random.Random(7)
+    for _ in range(300):
+        scores = [rng.choice([-4, -3, -1.03125, 1, 2.0625, 3.001953125, 5]) + rng.randrange(1024) / 2**20 for _ in range(rng.randrange(18))]
+        assert positive_segments(np.array(scores, dtype=float)) == best_segments(scores, 0, len(scores))
+
+
+def test_maximal_segments_in_linear_time():
+    began = time.time()
+    assert len(positive_segments(np.tile([1.0, -2.0], 400_000))) == 400_000
+    assert positive_segments(np.tile([2.0, -1.0], 400_000)) == [(400_001.0, 0, 799_999)]
+    assert time.time() - began < 30
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(4)
     made = []

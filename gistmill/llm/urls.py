@@ -2,7 +2,8 @@
 
 A list is a log of (list, verdict, pattern, action, day): ``add`` makes the pattern active from that day on, ``remove``
 ends it.  Patterns are ``host:h`` (that host), ``domain:d`` (d and all below it) and ``prefix:h/p`` (paths below h/p, by whole
-segments).  A capture has one key for each pattern that could match it, so the join is an equality on the key, with the fetch
+segments).  A capture has one key for each pattern that could match it, up to the most segments and labels that any listed
+pattern has (so a URL's keys grow with the lists' patterns, not with the square of its length), and the join is an equality on the key, with the fetch
 day inside the interval as its condition.  The join is declared; Spark broadcasts the lists only if their measured size is
 below its threshold and otherwise sorts and merges, splitting hot hosts (adaptive skew handling).
 
@@ -26,11 +27,12 @@ def host(url: str) -> Column:
     return F.regexp_extract(F.lower(F.col(url)), HOST, 1)
 
 
-def keys(url: str) -> Column:
-    """Every pattern that could match the URL."""
+def keys(url: str, depth: Column, width: Column) -> Column:
+    """Every pattern of at most ``depth`` path segments or ``width`` domain labels that could match the URL."""
     labels = F.split(host(url), "\\.")
     segments = F.filter(F.split(F.regexp_extract(F.col(url), PATH, 1), "/"), lambda s: s != "")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    segments = F.slice(segments, 1, depth)
+    domains = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - width + 1), F.size(labels)), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     prefixes = F.transform(segments, lambda s, i: F.concat(F.lit("prefix:"), host(url), F.lit("/"), F.array_join(F.slice(segments, 1, i + 1), "/")))
     found = F.concat(F.array(F.concat(F.lit("host:"), host(url))), domains, prefixes)
     return F.when(F.col(url).isNotNull() & (host(url) != ""), F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
@@ -48,7 +50,10 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Captures (page_id, url, day) with n_captures, n_active entries, the names of the lists and the verdict: allow, block or none."""
     once = captures.groupBy("page_id", "url", "day").agg(F.count("*").alias("n_captures"))
     spans = intervals(entries).select("list", "verdict", F.col("pattern").alias("_key"), "first_day", "end_day")
-    keyed = once.select("page_id", "url", "day", "n_captures", F.explode_outer(keys("url")).alias("_key"))
+    depth, width = F.size(F.split("_key", "/")) - 1, F.size(F.split("_key", "\\."))
+    most = [spans.agg(F.coalesce(F.max(F.when(F.col("_key").startswith(kind), n)), F.lit(least))).scalar() for kind, n, least in (("prefix:", depth, 0), ("domain:", width, 1))]
+    keyed = once.select("*", most[0].alias("_depth"), most[1].alias("_width"))
+    keyed = keyed.select("page_id", "url", "day", "n_captures", F.explode_outer(keys("url", F.col("_depth"), F.col("_width"))).alias("_key"))
     active = (keyed["_key"] == spans["_key"]) & (keyed["day"] >= spans["first_day"]) & (spans["end_day"].isNull() | (keyed["day"] < spans["end_day"]))
     met = keyed.join(spans, active, "left").groupBy("page_id", "url", "day").agg(
         F.max("n_captures").alias("n_captures"), F.count("list").alias("n_active"), F.array_join(F.sort_array(F.collect_set("list")), ",").alias("lists"),

@@ -11,7 +11,7 @@ task in order, so a long conversation needs no memory of its own.
 Defined cases: a null text or role is empty; turns are ordered by turn, role and text, nulls first, so ties and repeated
 rows have a fixed order and all count; a null conv_id is a conversation; one without assistant turns has no example, only
 rows whose ``example`` is null; turns after the last reply follow in such rows; an empty table gives no rows; extra columns
-are ignored.
+are ignored; conv_id may have any type that Spark can sort and Arrow can hold.
 """
 
 from __future__ import annotations
@@ -61,12 +61,11 @@ def expand(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     names = ["conv_id", "seq", "example", "start", "delta", "loss_start", "loss_end"]
-    arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    types = [arrow, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        conv, open_, seq, example, start, held, size = None, False, 0, 0, 0, [], 0
+        conv, open_, seq, example, start, held, size, own_type = None, False, 0, 0, 0, [], 0, None
 
         def close(span: tuple[int, int] | None) -> None:
             nonlocal seq, example, start, held, size
@@ -75,10 +74,11 @@ def expand(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
             example += bool(span)
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([own_type, *types])], names)
 
         weight = 0
         for batch in batches:
+            own_type = batch.schema.field(0).type
             ids, roles, texts = (batch.column(i).to_pylist() for i in (0, 2, 3))
             for own, role, text in zip(ids, roles, texts):
                 if not open_ or own != conv:
@@ -112,17 +112,27 @@ def full_text(examples: DataFrame) -> DataFrame:
     return spelt.filter(F.col("example").isNotNull()).select("conv_id", "example", "text", "loss_start", "loss_end")
 
 
-def read_back(examples: DataFrame) -> DataFrame:
-    """Parse what :func:`expand` wrote, in the order it wrote it: per conversation the turns, their digest, and the characters and digest of the text under the loss mask, unescaped."""
+def read_back(examples: DataFrame, ordered: bool = False) -> DataFrame:
+    """Parse what :func:`expand` wrote: per conversation the turns, their digest, and the characters and digest of the text under the loss mask, unescaped.
+
+    Rows are brought together by conversation and sorted by seq, as a table that was written and read again has neither.
+    ``ordered`` leaves that out where ``examples`` comes from :func:`expand` in the same plan, which hands rows on in that order.
+    """
+    if not ordered:
+        examples = examples.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
     kind = dict(examples.dtypes)["conv_id"]
-    arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples"]
-    types = [arrow, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        conv, state = None, None
+        conv, state, own_type = None, None, None
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([own_type, *types])], names)
+
         for batch in batches:
+            own_type = batch.schema.field("conv_id").type
             columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("conv_id", "seq", "start", "delta", "loss_start", "loss_end")]
             for own, seq, start, delta, first, last in zip(*columns):
                 if seq == 0:
@@ -139,11 +149,12 @@ def read_back(examples: DataFrame) -> DataFrame:
                     state[5] += 1
                 state[4] += len(delta)
             if len(out) >= 1000:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
+                yield made()
                 out = []
         if state:
             out.append(_closed(conv, state))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
+        if out:
+            yield made()
 
     return examples.mapInArrow(each, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")
 

@@ -56,7 +56,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    return chat.read_back(chat.expand(turns.unionByName(odd)))
+    return chat.read_back(chat.expand(turns.unionByName(odd)), ordered=True)
 
 
 #: A demonstration key; a deployment passes its own.

@@ -7,8 +7,9 @@ import time
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from gistmill.llm import bpe, decontaminate, ngram_join, pii, vptree, warc
+from gistmill.llm import bpe, chat, decontaminate, ngram_join, pii, toxicity, urls, vptree, warc
 
 
 def test_decontamination_of_rows_without_own_ids(spark):
@@ -129,3 +130,32 @@ def test_a_text_of_many_tokens_decodes_in_pieces():
     encoded = coder.encode(texts)
     assert len(encoded[1]) // 4 > 4 * bpe.DECODE_TOKENS
     assert coder.decode(encoded) == [t.encode() for t in texts] and coder.decode([]) == [] and coder.decode([b""]) == [b""]
+
+
+@pytest.mark.parametrize("kind", ["long", "short", "string", "date"])
+def test_chats_in_any_order_and_of_any_id(spark, kind):
+    turns = [(c, t, ("user", "assistant")[t % 2], f"said {c} {t}") for c in range(40) for t in range(7)] + [(None, 0, "assistant", "x")]
+    own = F.date_add(F.lit("2024-01-01").cast("date"), F.col("conv_id").cast("int")) if kind == "date" else F.col("conv_id").cast(kind)
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("conv_id", own)
+    made = chat.expand(df)
+    fresh = {tuple(r) for r in chat.read_back(made, ordered=True).collect()}
+    mixed = {tuple(r) for r in chat.read_back(made.repartition(5).orderBy(F.rand(1))).collect()}
+    assert fresh == mixed and len(fresh) == 41 and {r[1] for r in fresh} == {1, 7} and {r[6] for r in fresh} == {1, 3}
+
+
+def test_urls_of_many_segments(spark):
+    captures = spark.createDataFrame([(1, "http://a.b.c.example/" + "s/" * 200_000), (2, "http://" + "x." * 20_000 + "c.example/s/t/u")], "page_id long, url string").withColumn("day", F.lit("2024-02-01").cast("date"))
+    entries = spark.createDataFrame([("l", "block", p, "add") for p in ("prefix:a.b.c.example/s/s", "domain:c.example", "domain:example")], "list string, verdict string, pattern string, action string").withColumn("day", F.lit("2024-01-01").cast("date"))
+    got = {r["page_id"]: (r["n_active"], r["verdict"]) for r in urls.judge(captures, entries).collect()}
+    assert got == {1: (3, "block"), 2: (2, "block")}
+
+
+def test_toxicity_beside_columns_of_its_names(spark):
+    docs = spark.createDataFrame([(i, "vile words" if i % 4 == 0 else "kind words") for i in range(200)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    clashing = docs.select("*", F.lit(1).alias("_text"), F.lit(2).alias("_Lowered"), F.lit("s").alias("score"))
+    model = toxicity.fit(clashing, labels)
+    kept = toxicity.keep_clean(clashing, model)
+    assert kept.columns == clashing.columns and {r["doc_id"] for r in kept.collect()} == {i for i in range(200) if i % 4}
+    assert {tuple(r) for r in kept.select("_text", "_Lowered", "score").collect()} == {(1, 2, "s")}
+    assert {(r["doc_id"] % 4 == 0, r["predicted"], r["_text"]) for r in toxicity.score(clashing, model).collect()} == {(True, 1, 1), (False, 0, 1)}

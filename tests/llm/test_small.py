@@ -304,7 +304,7 @@ def test_archives(spark):
 
 def test_zip64_directory():
     package = warc.Package()
-    package.add(1, warc.build_record(1, "http://a", b"hello", hashlib.sha256(b"hello").hexdigest(), None, "2024-01-01T00:00:00Z"), 5)
+    package.add(1, warc.build_record(1, "http://a", b"hello", hashlib.sha256(b"hello").hexdigest(), None, "2024-01-01T00:00:00Z"))
     raw = package.to_bytes()
     end = raw.rfind(b"PK\x05\x06")
     count, size, offset = struct.unpack("<HII", raw[end + 10 : end + 20])

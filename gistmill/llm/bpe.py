@@ -7,8 +7,8 @@ the vocabulary is its own token.  Decoding joins (document, position, token) row
 bytes in the order of position.
 
 The vocabulary is a rank file whose place is a parameter; the driver reads it and broadcasts it, at most ``MAX_VOCABULARY``
-entries.  Nothing is shuffled and a task's memory is bounded by its batches; each worker keeps the tokens of at most
-``CACHE_WORDS`` words it has met.
+entries.  Nothing is shuffled and a task's memory is bounded by its batches; each worker keeps the tokens of the words it met
+last, in two generations of about ``CACHE_WORDS`` and the words of one group.
 
 Defined cases: a null or empty text gives no ids and decodes to the empty text; repeated rows are encoded alike; special
 tokens don't exist, their strings are ordinary text; an id without an entry raises ``ValueError``.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from ._text import tidy
 
 MAX_VOCABULARY = 1_000_000
-CACHE_WORDS = 150_000
+CACHE_WORDS = 125_000
 #: Texts are encoded in groups of about so many characters.
 GROUP_CHARS = 1 << 20
 #: A query keeps every turn's rows, at most the sum of the squared lengths of its words; that sum is bounded.
@@ -139,7 +139,7 @@ class Coder:
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         import duckdb
 
-        self.ranks, self.pattern, self.cache = ranks, pattern, {}
+        self.ranks, self.pattern, self.cache, self.older = ranks, pattern, {}, {}
         pairs, merged = [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -244,9 +244,12 @@ class Coder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+            self.cache, self.older = {}, self.cache
         split = self.words(texts)
-        self.learn({w for words in split for w in words} - self.cache.keys())
+        missing = {w for words in split for w in words} - self.cache.keys()
+        met = missing & self.older.keys()
+        self.cache |= {w: self.older[w] for w in met}
+        self.learn(missing - met)
         of = self.cache.__getitem__
         return [b"".join(map(of, words)) for words in split]
 

@@ -88,6 +88,7 @@ class PromptPipeline:
     question_rate: float = 1.0
     context_budget: str = "+100"
     rank_method: str = "llmlingua"
+    condition_in_question: str = "none"
     target_context: int = -1
     context_level_rate: float = 1.0
     reorder: str = "original"

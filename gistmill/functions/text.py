@@ -81,7 +81,12 @@ def keywords(text: Column) -> Column:
 
 def keyword_retention(original: Column, reduced: Column) -> Column:
     """Per cent of the original's keywords that the reduced text keeps; 0 where it has none."""
-    kept, all_ = F.size(F.array_intersect(keywords(original), keywords(reduced))), F.size(keywords(original))
+    return keyword_share(keywords(original), reduced)
+
+
+def keyword_share(found: Column, reduced: Column) -> Column:
+    """The same of keywords that are already found."""
+    kept, all_ = F.size(F.array_intersect(found, keywords(reduced))), F.size(found)
     return F.when(all_ == 0, F.lit(0.0)).otherwise(100.0 * kept / all_)
 
 

@@ -80,6 +80,13 @@ def hybrid(dense_scores: DataFrame, bm25_scores: DataFrame, alpha: float = 0.5,
     return a.join(b, [key, "chunk_index"]).select(key, "chunk_index", (alpha * F.col("_d") + (1 - alpha) * F.col("_b")).alias("score"))
 
 
+def mixed(rows: DataFrame, queries: DataFrame, alpha: float = 0.5, key: str = "sample_id") -> DataFrame:
+    """The same for rows that carry both: chunks with ``vector`` and their BM25 ``score``, which the mixture replaces.  One exchange by sample."""
+    asked = queries.select(key, unit(F.col("query_vector")).alias("_q"))
+    both = rows.join(asked, key).withColumn("_dense", dot(unit(F.col("vector")), F.col("_q"))).drop("_q")
+    return both.withColumn("score", alpha * min_max(F.col("_dense"), key) + (1 - alpha) * min_max(F.col("score"), key)).drop("_dense")
+
+
 def top_n(scored: DataFrame, n: int, key: str = "sample_id") -> DataFrame:
     """The n best of each sample with their rank from 0; ties go to the earlier chunk."""
     order = W.partitionBy(key).orderBy(F.col("score").desc(), "chunk_index")

@@ -30,8 +30,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ASKED = "asked AS (SELECT doc_id AS sample_id, b.text AS query FROM documents JOIN benchmark b ON b.item_id = doc_id % (SELECT max(item_id) + 1 FROM benchmark))"
 CHUNKS = f"chunks AS (SELECT doc_id AS sample_id, generate_subscripts(p, 1) - 1 AS chunk_index, unnest(p) AS text FROM (SELECT doc_id, {paragraphs('text')} AS p FROM documents))"
-BM25 = f"""{ASKED}, {CHUNKS},
-w AS (SELECT sample_id, chunk_index, list_filter(string_split_regex(lower(text), '[ \\t\\n\\r\\f]+'), lambda t: t <> '') AS ts FROM chunks),
+BM25_CORE = """w AS (SELECT sample_id, chunk_index, list_filter(string_split_regex(lower(text), '[ \\t\\n\\r\\f]+'), lambda t: t <> '') AS ts FROM chunks),
 post AS (SELECT sample_id, chunk_index, term, count(*) AS tf FROM (SELECT sample_id, chunk_index, unnest(ts) AS term FROM w) GROUP BY ALL),
 corpus AS (SELECT sample_id, count(*) AS n, avg(len(ts)) AS avgdl FROM w GROUP BY sample_id),
 df AS (SELECT sample_id, term, count(*) AS df FROM post GROUP BY ALL),
@@ -39,7 +38,9 @@ idf0 AS (SELECT df.*, n, avgdl, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df J
 idf AS (SELECT *, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY sample_id) ELSE raw END AS idf FROM idf0),
 q AS (SELECT sample_id, term, count(*) AS qtf FROM (SELECT sample_id, unnest(list_filter(string_split_regex(lower(query), '[ \\t\\n\\r\\f]+'), lambda t: t <> '')) AS term FROM asked) GROUP BY ALL),
 score AS (SELECT post.sample_id, post.chunk_index, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ts) / avgdl))) AS score
-          FROM post JOIN idf USING (sample_id, term) JOIN q USING (sample_id, term) JOIN w USING (sample_id, chunk_index) GROUP BY ALL),
+          FROM post JOIN idf USING (sample_id, term) JOIN q USING (sample_id, term) JOIN w USING (sample_id, chunk_index) GROUP BY ALL)"""
+BM25 = f"""{ASKED}, {CHUNKS},
+{BM25_CORE},
 bm25 AS (SELECT chunks.*, {ntok('text')} AS token_count, round(coalesce(score, 0.0), 9) AS score FROM chunks LEFT JOIN score USING (sample_id, chunk_index)),
 ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, chunk_index) - 1 AS rank FROM bm25) WHERE rank < 10)"""
 
@@ -190,11 +191,11 @@ def hybrid_topn(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     n = vectors.agg(F.count("*").alias("n"))
     sparse = retrieval.bm25_scores(_paragraph_chunks(spark, sf_dir), _asked(spark, sf_dir)).withColumn("score", F.round("score", 9))
-    rows = sparse.select("sample_id", "chunk_index").join(F.broadcast(n))  # one row
-    rows = rows.withColumn("c", F.pmod(F.col("sample_id") * 7 + F.col("chunk_index"), "n")).withColumn("q", F.pmod("sample_id", "n"))
-    rows = rows.join(vectors.toDF("c", "vector"), "c").select("sample_id", "chunk_index", "vector", "q")
-    asked = rows.select("sample_id", "q").distinct().join(vectors.toDF("q", "query_vector"), "q").select("sample_id", "query_vector")
-    mixed = retrieval.hybrid(retrieval.dense(rows, asked), sparse).withColumn("score", F.round("score", 6))
+    rows = sparse.join(F.broadcast(n)).withColumn("c", F.pmod(F.col("sample_id") * 7 + F.col("chunk_index"), "n"))  # one row
+    rows = rows.join(vectors.toDF("c", "vector"), "c").select("sample_id", "chunk_index", "score", "vector")
+    asked = _docs(spark, sf_dir).select("sample_id").join(F.broadcast(n)).withColumn("q", F.pmod("sample_id", "n"))
+    asked = asked.join(vectors.toDF("q", "query_vector"), "q").select("sample_id", "query_vector")
+    mixed = retrieval.mixed(rows, asked).withColumn("score", F.round("score", 6))
     return retrieval.top_n(mixed, 3).select("sample_id", "chunk_index", "rank", "score")
 
 

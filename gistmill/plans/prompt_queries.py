@@ -11,6 +11,7 @@ from ..operators import metrics, prompt
 from ..sources import adapters, cache
 from . import pipelines
 from ._base import keywords, normalized, ntok, query, table, tok
+from .context_queries import ASKED, BM25_CORE, CHUNKS, _asked, _docs, _paragraph_chunks
 
 #: Conversations as samples: the system turn instructs, the last user turn asks, all others are contexts.
 ROLES = f"""turns AS (SELECT conv_id AS sample_id, turn, role, coalesce(text, '') AS text, {ntok('text')} AS n, max(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS last FROM conversations),
@@ -86,6 +87,25 @@ def context_rank_question(spark, sf_dir):
     return _scored(spark, sf_dir, "longllmlingua").select("sample_id", "context_index", F.round("score", 6).alias("score"))
 
 
+CONDITIONED = f"""{ROLES.replace('ctx AS (', 'ctx0 AS (')},
+ctx AS (SELECT sample_id, context_index, text || ' ' || question || '{prompt.CONDITION}' AS text, token_count FROM ctx0 JOIN sample USING (sample_id)), {LOSSES}"""
+
+
+@query(f"WITH {CONDITIONED} SELECT sample_id, context_index, round(-score + 2 * token_count / 250, 6) AS score FROM scored")
+def context_rank_conditioned(spark, sf_dir):
+    """Perplexity of each context with the question after it."""
+    ranked = prompt.rank_contexts(_contexts(spark, sf_dir), _samples(spark, sf_dir), "longllmlingua", "after")
+    return ranked.select("sample_id", "context_index", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {ROLES}, asked AS (SELECT sample_id, question AS query FROM sample), chunks AS (SELECT sample_id, context_index AS chunk_index, text FROM ctx), {BM25_CORE}
+SELECT sample_id, context_index, round(coalesce(score, 0.0), 6) AS score FROM ctx LEFT JOIN (SELECT sample_id, chunk_index AS context_index, score FROM score) USING (sample_id, context_index)""")
+def context_rank_bm25(spark, sf_dir):
+    """Contexts of a conversation against its question."""
+    ranked = prompt.rank_contexts(_contexts(spark, sf_dir), _samples(spark, sf_dir), "bm25")
+    return ranked.select("sample_id", "context_index", F.round("score", 6).alias("score"))
+
+
 SELECT = f"""{ROLES}, {BUDGET}, {LOSSES},
 so AS (SELECT sample_id, list({{'i': context_index, 'n': token_count}} ORDER BY score DESC, context_index) AS items, any_value(context_budget) AS t FROM scored JOIN alloc USING (sample_id) GROUP BY sample_id),
 sf AS (SELECT sample_id, t, list_reduce(list_transform(items, lambda x: {{'kept': [x.i], 'total': x.n::bigint, 'stop': false}}),
@@ -172,6 +192,26 @@ def prompt_run(spark, sf_dir):
     return run.result.select("sample_id", F.md5("prompt").alias("prompt_md5"), "input_tokens", "output_tokens")
 
 
+SIMULATED = rf"""{ASKED}, {CHUNKS},
+iw AS (SELECT sample_id, chunk_index, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w FROM (SELECT *, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM chunks)),
+ik AS (SELECT *, regexp_replace(lower(w), '^[.,!?;:()]+|[.,!?;:()]+$', '', 'g') AS k FROM iw),
+ic AS (SELECT *, count(*) OVER (PARTITION BY sample_id, chunk_index) AS n, count(*) OVER (PARTITION BY sample_id, chunk_index, k) AS f FROM ik),
+ir AS (SELECT *, rank() OVER (PARTITION BY sample_id, chunk_index ORDER BY round(ln(n / f) + 0.5 + CASE WHEN regexp_matches(w, '[0-9]') THEN 50 ELSE 0 END, 9) DESC) AS r FROM ic),
+ij AS (SELECT sample_id, chunk_index, string_agg(w, ' ' ORDER BY pos) AS short FROM ir WHERE r <= greatest(1, trunc(n * 0.4::double)) GROUP BY ALL),
+dn AS (SELECT sample_id, chunk_index, text, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS ws FROM chunks),
+dd AS (SELECT sample_id, chunk_index, text, round(CASE WHEN len(ws) = 0 THEN 0.0 ELSE len(list_distinct(ws)) / len(ws) + 0.1 * len(list_filter(ws, lambda x: regexp_matches(x, '[0-9]'))) END, 9) AS density FROM dn),
+cs AS (SELECT sample_id, string_agg(coalesce(short, text), chr(10) || chr(10) ORDER BY density DESC, chunk_index) AS cut, string_agg(text, chr(10) || chr(10) ORDER BY density DESC, chunk_index) AS whole FROM dd LEFT JOIN ij USING (sample_id, chunk_index) GROUP BY sample_id),
+sm AS (SELECT sample_id, concat_ws(chr(10) || chr(10), 'Answer briefly.', cut, nullif(query, '')) AS prompt, concat_ws(chr(10) || chr(10), 'Answer briefly.', whole, nullif(query, '')) AS before FROM asked LEFT JOIN cs USING (sample_id))"""
+
+
+@query(f"WITH {SIMULATED} SELECT sample_id, md5(prompt) AS prompt_md5, {ntok('before')} AS input_tokens, {ntok('prompt')} AS output_tokens FROM sm")
+def simulated_run(spark, sf_dir):
+    """The prompt pipeline without a model over all documents, each with its question."""
+    samples = _asked(spark, sf_dir).select("sample_id", F.lit("Answer briefly.").alias("instruction"), F.col("query").alias("question"))
+    contexts = _paragraph_chunks(spark, sf_dir).select("sample_id", F.col("chunk_index").alias("context_index"), "text")
+    return pipelines.run_simulated(samples, contexts).withColumn("prompt_md5", F.md5("prompt")).drop("prompt")
+
+
 EVAL = f"""s AS (SELECT doc_id, documents.text AS text, b.text AS answer, keep, array_to_string({tok('documents.text')}[1:trunc(len({tok('documents.text')}) * keep)::int], '') AS context, doc_id % 50 = 7 AS failed
   FROM documents JOIN benchmark b ON b.item_id = doc_id % (SELECT max(item_id) + 1 FROM benchmark), (VALUES (0.3::double), (0.5::double), (0.7::double)) k(keep)),
 m AS (SELECT keep, failed, {ntok('text')} AS i, {ntok('context')} AS o, {keywords('text')} AS ka, {keywords('context')} AS kb, contains({normalized('context')}, {normalized('answer')}) AS hit, answer FROM s)"""
@@ -182,12 +222,11 @@ round(avg(CASE WHEN i = 0 THEN 0 ELSE 1 - o / i END) FILTER (NOT failed), 6) AS
 round(100.0 * avg(hit::int) FILTER (NOT failed), 6) AS answer_recall_pct, count(*) FILTER (NOT failed AND answer <> '') AS answerable FROM m GROUP BY keep""")
 def eval_rollup(spark, sf_dir):
     """All documents at three keep ratios in one job; each ratio is a prefix of that share of the tokens."""
-    from .context_queries import _asked
-
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.col("text").alias("document"))
-    rows = docs.join(_asked(spark, sf_dir), "sample_id").withColumnRenamed("query", "answer").withColumn("keep_ratio", F.explode(F.array(F.lit(0.3), F.lit(0.5), F.lit(0.7))))
-    n = (T.n_tokens(F.col("document")) * F.col("keep_ratio")).cast("int")
-    rows = rows.withColumn("context", T.truncate_tokens(F.col("document"), n)).withColumn("error", F.when(F.col("sample_id") % 50 == 7, "planted"))
+    rows = docs.join(_asked(spark, sf_dir), "sample_id").withColumnRenamed("query", "answer").withColumns({"tokens": T.tokens(F.col("document")), "keywords": T.keywords(F.col("document"))})
+    rows = rows.withColumn("input_tokens", F.coalesce(F.size("tokens"), F.lit(0))).withColumn("keep_ratio", F.explode(F.array(F.lit(0.3), F.lit(0.5), F.lit(0.7))))
+    n = (F.col("input_tokens") * F.col("keep_ratio")).cast("int")
+    rows = rows.withColumn("context", F.array_join(F.slice("tokens", F.lit(1), n), "")).drop("tokens").withColumn("error", F.when(F.col("sample_id") % 50 == 7, "planted"))
     found = metrics.roll_up(metrics.sample_metrics(rows), "keep_ratio")
     return found.select(*[F.round(c, 6).alias(c) if c.startswith("avg_") or c.endswith("_pct") else c for c in found.columns])
 
@@ -195,8 +234,6 @@ def eval_rollup(spark, sf_dir):
 @query()
 def compare_run(spark, sf_dir):
     """Both pipelines over all documents at three keep ratios, rolled up; samples without a text are errors."""
-    from .context_queries import _asked, _docs
-
     samples = _docs(spark, sf_dir).join(_asked(spark, sf_dir), "sample_id").withColumn("answer", F.col("query"))
     found = pipelines.compare(samples, [0.3, 0.5, 0.7])
     return found.select(*[F.round(c, 6).alias(c) if c.startswith("avg_") or c.endswith("_pct") else c for c in found.columns])
@@ -246,6 +283,14 @@ def prf_macro(spark, sf_dir):
     return metrics.macro(_language(spark, sf_dir))
 
 
+@query(f"""WITH {CLASSES}, h AS (SELECT avg(precision) AS p, avg(recall) AS r, avg(f1) AS f, (SELECT avg((label = predicted)::int) FROM pred) AS a FROM pr)
+SELECT printf('Accuracy:  %.4f', a) || chr(10) || printf('Precision: %.4f', p) || chr(10) || printf('Recall:    %.4f', r) || chr(10) || printf('F1 Score:  %.4f', f)
+  || (SELECT string_agg(chr(10) || '  ' || class || printf(': P=%.3f R=%.3f F1=%.3f', precision, recall, f1), '' ORDER BY class) FROM pr) AS report FROM h""")
+def metrics_report(spark, sf_dir):
+    found = _language(spark, sf_dir)
+    return metrics.report(metrics.macro(found), metrics.per_class(found))
+
+
 @query("SELECT lang AS label, count(*) AS n FROM documents GROUP BY lang")
 def label_histogram(spark, sf_dir):
     return metrics.histogram(_language(spark, sf_dir))
@@ -278,21 +323,10 @@ def sample_split(spark, sf_dir):
     return adapters.hash_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 100, seed=7).withColumn("sample", F.lit(True))
 
 
-TAGGED = "'<llmlingua, rate=0.4>' || replace(substr(text, 1, 40), '<', '') || '</llmlingua> outside <llmlingua, compress=False>' || doc_id || '</llmlingua><llmlingua, compress=True, rate=0.' || (doc_id % 9 + 1) || '>x</llmlingua>'"
-
-
-@query("""SELECT doc_id, i::int AS segment_index, CASE i WHEN 0 THEN replace(substr(text, 1, 40), '<', '') WHEN 1 THEN doc_id::varchar ELSE 'x' END AS segment,
-CASE i WHEN 0 THEN 0.4 WHEN 1 THEN 1.0 ELSE (doc_id % 9 + 1) / 10 END::double AS rate, i <> 1 AS compress FROM documents, range(3) r(i)""")
-def structured_parse(spark, sf_dir):
-    head = F.replace(F.substring("text", 1, 40), F.lit("<"), F.lit(""))
-    tagged = F.concat(F.lit("<llmlingua, rate=0.4>"), head, F.lit("</llmlingua> outside <llmlingua, compress=False>"), F.col("doc_id"), F.lit("</llmlingua><llmlingua, compress=True, rate=0."), F.col("doc_id") % 9 + 1, F.lit(">x</llmlingua>"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.structured_segments(tagged, 0.5)).alias("segment_index", "s")).select("doc_id", "segment_index", "s.*")
-
-
 @query("""SELECT doc_id, i::int AS segment_index, CASE i WHEN 0 THEN replace(coalesce(text, ''), '<', '') WHEN 1 THEN doc_id::varchar ELSE 'x' END AS segment,
 CASE i WHEN 0 THEN 0.4 WHEN 1 THEN 1.0 ELSE (doc_id % 9 + 1) / 10 END::double AS rate, i <> 1 AS compress FROM documents, range(3) r(i)""")
-def structured_parse_text(spark, sf_dir):
-    """As structured_parse, with each document's whole text in its first segment."""
+def structured_parse(spark, sf_dir):
+    """Each document's whole text in the first of three tagged segments."""
     said = F.replace(F.coalesce("text", F.lit("")), F.lit("<"), F.lit(""))
     tagged = F.concat(F.lit("<llmlingua, rate=0.4>"), said, F.lit("</llmlingua> outside <llmlingua, compress=False>"), F.col("doc_id"), F.lit("</llmlingua><llmlingua, compress=True, rate=0."), F.col("doc_id") % 9 + 1, F.lit(">x</llmlingua>"))
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.structured_segments(tagged, 0.5)).alias("segment_index", "s")).select("doc_id", "segment_index", "s.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gistmill import config as C
 from gistmill.functions import text as T
+from gistmill.operators import compression, prompt
 from gistmill.plans import pipelines, providers, registry, search_queries
 from gistmill.sources import cache
 from gistmill.streaming.incremental import score_stream
@@ -44,7 +45,7 @@ def test_structured(spark):
 def test_structured_parse_reads_whole_texts(spark, tmp_path):
     text = "a line of the text\nand < another one, beyond the first forty characters " * 200
     spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r["doc_id"], r["segment_index"]): r["segment"] for r in registry.queries()["structured_parse_text"](spark, str(tmp_path)).collect()}
+    got = {(r["doc_id"], r["segment_index"]): r["segment"] for r in registry.queries()["structured_parse"](spark, str(tmp_path)).collect()}
     assert len(got) == 6 and got[1, 0] == text.replace("<", "") and got[2, 0] == "" and got[1, 1] == "1" and got[1, 2] == "x"
 
 
@@ -138,3 +139,32 @@ def test_runs(spark, tmp_path):
     assert got == [(0, 3), (1, 2), (2, 1)]
     base = cache.write_run(one, two, str(tmp_path), "r1")
     assert spark.read.json(f"{base}/per_sample").count() == 2
+
+
+def test_context_ranking_meets_the_question(spark):
+    contexts = spark.createDataFrame([(1, 0, "red apples", 2), (1, 1, "green pears", 2), (1, 2, "", 0), (2, 0, "alone here", 2)], "sample_id int, context_index int, text string, token_count int")
+    questions = spark.createDataFrame([(1, "which pears"), (2, None)], "sample_id int, question string")
+    scores = lambda *how, of=contexts: {(r["sample_id"], r["context_index"]): r["score"] for r in prompt.rank_contexts(of, questions, *how).collect()}
+    by_terms = scores("bm25")
+    assert len(by_terms) == 4 and by_terms[1, 1] > by_terms[1, 0] == by_terms[1, 2] == by_terms[2, 0] == 0.0
+    alone, after = scores("longllmlingua"), scores("longllmlingua", "after")
+    assert set(alone) == set(after) and alone[1, 0] != after[1, 0]
+    # A unigram model doesn't see the order; an empty text would leave a space at one end.
+    said = contexts.filter("text <> ''")
+    assert scores("longllmlingua", "before", of=said) == pytest.approx(scores("longllmlingua", "after", of=said))
+    assert scores("embedding") == scores("llmlingua")
+
+
+def test_context_run_by_vectors(spark):
+    samples = spark.createDataFrame([(1, "First about rivers.\n\nThen about stones here.", "stones", [0.0, 1.0])], "sample_id int, text string, query string, query_vector array<double>")
+    embed = lambda chunks: chunks.withColumn("vector", F.when(F.contains("text", F.lit("rivers")), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
+    for method in ("embedding", "hybrid"):
+        config = C.ContextPipeline(chunking=C.Chunking("paragraph"), retrieval=C.Retrieval(method, top_n=1))
+        assert "stones" in pipelines.run_context(samples, config, embed).result.first()["context"]
+
+
+def test_informative_words(spark):
+    rows = spark.createDataFrame([(1, 0, "the cat, the dog the 7"), (1, 1, " "), (2, 0, "one")], "sample_id int, context_index int, text string")
+    got = {(r["sample_id"], r["context_index"]): r["text"] for r in compression.informative_words(rows, 0.4).collect()}
+    # Two of six words: the number first, then the rare ones, which tie.
+    assert got == {(1, 0): "cat, dog 7", (1, 1): " ", (2, 0): "one"}
